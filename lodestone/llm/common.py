@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,3 +49,24 @@ def discard(df: DataFrame) -> None:
 
 def bits_between(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def with_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], run: Callable[..., Iterator[pa.Array]]) -> DataFrame:
+    """Add columns that ``run`` makes, an Arrow batch at a time, from the input columns; namesakes are replaced.
+
+    ``run`` gets one array per input and yields one array per output.
+    """
+    kept = [c for c in df.columns if c not in outputs]
+    names = [*kept, *outputs]
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, T._parse_datatype_string(kind)) for n, kind in outputs.items())])
+    missing = [c for c in inputs if c not in kept]
+    fed = df.select(*kept, *missing)
+    kinds = {"string": pa.string(), "binary": pa.binary()}
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            made = list(run(*[part.column(c) for c in inputs]))
+            made = [m.cast(kinds[outputs[n]]) if outputs[n] in kinds else m for m, n in zip(made, outputs, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names=names)
+
+    return fed.mapInArrow(batches, schema)

@@ -162,7 +162,7 @@ class TableReader:
     """Reads one file: by key through Bloom filter and binary search, or all entries in order."""
 
     def __init__(self, data: bytes):
-        self.data = memoryview(data)
+        self.data = memoryview(data).cast("B")  # Arrow buffers count as signed bytes
         magic, version, self.width, self.docs, self.ids, index_at, index_size, bloom_at, bloom_size = FOOTER.unpack(self.data[-FOOTER.size - 1 : -1])
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token table")

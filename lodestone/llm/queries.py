@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, sentencepiece_bpe, sharding, token_table
+from lodestone.llm import chat, sentencepiece_bpe, sharding, simhash, token_table
 from lodestone.llm.common import shared_dir, table
 
 #: A conversation whose texts hold another template's control strings.
@@ -50,3 +50,8 @@ def op10_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-table-{uuid.uuid4().hex}"
     token_table.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_table.read(spark, path, token_table.crc_of, "long", "ids_crc32")
+
+
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")

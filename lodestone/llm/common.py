@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+SLICE_BYTES = 4 * 2**20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,13 @@ def bits_between(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def slices(part: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about ``most`` bytes, one row at least, so that Python holds little at once."""
+    if part.num_rows:
+        step = max(1, most * part.num_rows // max(1, part.nbytes))
+        yield from (part.slice(lo, step) for lo in range(0, part.num_rows, step))
+
+
 def with_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], run: Callable[..., Iterator[pa.Array]]) -> DataFrame:
     """Add columns that ``run`` makes, an Arrow batch at a time, from the input columns; namesakes are replaced.
 
@@ -64,7 +72,7 @@ def with_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], run:
     kinds = {"string": pa.string(), "binary": pa.binary()}
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (x for whole in parts for x in slices(whole)):
             made = list(run(*[part.column(c) for c in inputs]))
             made = [m.cast(kinds[outputs[n]]) if outputs[n] in kinds else m for m, n in zip(made, outputs, strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names=names)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, sentencepiece_bpe, sharding, simhash, token_table
+from lodestone.llm import chat, sentencepiece_bpe, sharding, simhash, token_table, toxicity
 from lodestone.llm.common import shared_dir, table
 
 #: A conversation whose texts hold another template's control strings.
@@ -55,3 +55,10 @@ def op10_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.add_scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), name="score")
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

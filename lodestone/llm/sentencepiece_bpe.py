@@ -19,7 +19,9 @@ encoded and decoded here.
 from __future__ import annotations
 
 import codecs
+import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -32,7 +34,7 @@ from lodestone.llm.common import with_columns
 
 MARK = "▁"
 #: Words, and pairs of pieces, that each worker remembers; a full cache is emptied.
-CACHE = 1_000_000
+CACHE = 600_000
 
 
 def _each_invalid_byte(error: UnicodeError) -> tuple[str, int]:
@@ -42,6 +44,28 @@ def _each_invalid_byte(error: UnicodeError) -> tuple[str, int]:
 codecs.register_error("lodestone_each_byte", _each_invalid_byte)
 
 
+class _Words(dict):
+    """Ids of words, made on first use; a full table is emptied."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        encoder = self.encoder
+        joined = encoder.joined
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
+        if cuts:
+            ids = b"".join([self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)])
+        else:
+            ids = encoder.word_ids(word)
+        if len(word) <= 40:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Encodes and decodes as the library does with the model in ``path``."""
 
@@ -59,10 +83,13 @@ class Encoder:
         # the library's own checks of these settings
         if model.normalize("A  é ") != f"{MARK}A{MARK}{MARK}é{MARK}":
             raise ValueError("only models without text normalisation, with a dummy prefix, are supported")
+        self.size = size
         self.find = ahocorasick.Automaton()
-        for piece in self.id:
-            self.find.add_word(piece, len(piece))
+        for piece, i in self.id.items():
+            self.find.add_word(piece, (len(piece), i))
         self.find.make_automaton()
+        #: Neighbouring characters that some piece holds; words are cut between all others, where nothing can merge.
+        self.joined = {piece[i : i + 2] for piece in self.id for i in range(len(piece) - 1)}
         self.bytes = [b""] * size
         for piece, i in self.id.items():
             self.bytes[i] = piece.replace(MARK, " ").encode()
@@ -71,101 +98,121 @@ class Encoder:
         self.bytes[model.unk_id()] = " ⁇ ".encode()
         self.marked = {i for piece, i in self.id.items() if piece.startswith(MARK)}
         self.control = {i for i in special if model.is_control(i)}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.spaced = re.compile(f"{MARK}+[^{MARK}]*")
+        self.chars = {piece for piece in self.id if len(piece) == 1}
+        self.char_id: dict[str, int] = {}  # characters without a piece, numbered from `size` on
+        self.pairs: dict[int, bool] = {}
+        self.words = _Words(self)
+        self.runs = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.line_end = np.array([self.byte_id[10]], "<i4").tobytes() if not any("\n" in piece for piece in self.id) else None
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE: again and again the best-scored pair, the leftmost of equals."""
         parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
+        if len(parts) < 2:
+            return parts
+        none = -math.inf
+        pair = [score.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pair and (best := max(pair)) != none:
+            at = pair.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pair[at]
+            if at:
+                pair[at - 1] = score.get(parts[at - 1] + parts[at], none)
+            if at < len(pair):
+                pair[at] = score.get(parts[at] + parts[at + 1], none)
         return parts
 
+    def number(self, part: str) -> int:
+        i = self.id.get(part)
+        if i is None:
+            i = self.char_id.setdefault(part, self.size + len(self.char_id))
+        return i
+
     def stays_apart(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= CACHE:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(left + right) == ([left, right] if left else [right])
-        return known
-
-    def pieces(self, word: str) -> list[str]:
-        """The pieces of a word that has its mark; characters without a piece are parts of their own."""
+        return self.merge(left + right) == ([left, right] if left else [right])
+
+    def pieces(self, word: str) -> list[int]:
+        """Numbers of the pieces of a word; a character without a piece is a part of its own."""
         n = len(word)
-        at: list[list[int]] = [[1] for _ in range(n)]  # lengths of the pieces from each position, ascending; a character is always one
-        for end, size in self.find.iter(word):
-            if size > 1:
-                at[end - size + 1].append(size)  # ends come in order, so these ascend
+        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # the pieces from each position, shortest first
+        for end, found in self.find.iter(word):
+            at[end - found[0] + 1].append(found)  # ends come in order, so these ascend
+        if not self.chars.issuperset(word):
+            for i, c in enumerate(word):
+                if c not in self.chars:
+                    at[i].insert(0, (1, self.number(c)))
         can = bytearray(b"\x01") * (n + 1)
-        chosen: list[int] = []  # how many of the sizes at its position were left when each part was taken
+        chosen: list[int] = []  # the piece taken at each start, as a place among those of its position
         starts: list[int] = []
-        pos, left = 0, len(at[0])
-        while pos < n:
-            taken = 0
-            before = word[starts[-1] : pos] if starts else ""
-            for k in range(left - 1, -1, -1):
-                end = pos + at[pos][k]
-                if can[end]:
-                    part = word[pos:end]
-                    if self.stays_apart(before, part):
-                        taken = k + 1
+        taken: list[int] = []
+        pairs, stays_apart = self.pairs, self.stays_apart
+        pos, last = 0, -1
+        here = at[0]
+        k = len(here) - 1
+        while True:
+            while k >= 0:
+                size, i = here[k]
+                if can[pos + size]:
+                    pair = last << 32 | i
+                    apart = pairs.get(pair)
+                    if apart is None:
+                        if len(pairs) >= CACHE:
+                            pairs.clear()
+                        apart = pairs[pair] = stays_apart(word[starts[-1] : pos] if starts else "", word[pos : pos + size])
+                    if apart:
                         break
-            if taken:
+                k -= 1
+            if k >= 0:
                 starts.append(pos)
-                chosen.append(taken)
-                pos += at[pos][taken - 1]
-                left = len(at[pos]) if pos < n else 0
+                chosen.append(k)
+                taken.append(i)
+                pos += size
+                if pos == n:
+                    return taken
+                last, here = i, at[pos]
+                k = len(here) - 1
             else:
                 can[pos] = 0
                 if not starts:
                     raise ValueError(f"no encoding of {word!r}")
-                pos = starts.pop()
-                left = chosen.pop() - 1
-        return [word[a:b] for a, b in zip(starts, [*starts[1:], n], strict=True)]
-
-    def word_ids(self, word: str) -> list[int]:
-        parts = self.merge(word) if word.startswith(MARK * 2) else self.pieces(word)
-        ids: list[int] = []
-        for part in parts:
-            i = self.id.get(part)
-            ids.extend([i] if i is not None else [self.byte_id[b] for b in part.encode()])
-        return ids
+                pos, k = starts.pop(), chosen.pop() - 1
+                taken.pop()
+                last, here = taken[-1] if taken else -1, at[pos]
+
+    def word_ids(self, word: str) -> bytes:
+        ids = [self.number(p) for p in self.merge(word)] if word.startswith(MARK * 2) else self.pieces(word)
+        if max(ids) >= self.size:
+            chars = {i: c for c, i in self.char_id.items()}
+            ids = [x for i in ids for x in ([i] if i < self.size else [self.byte_id[b] for b in chars[i].encode()])]
+        return array("i", ids).tobytes()
 
     def encode_bytes(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text, without an end id."""
         if not text:
             return b""
-        marked = MARK + text.replace(" ", MARK)
-        words = self.spaced.findall(marked) if MARK * 2 in marked else [MARK + w for w in marked[1:].split(MARK)]
-        cache, out = self.words, []
-        for word in words:
-            ids = cache.get(word)
-            if ids is None:
-                ids = np.array(self.word_ids(word), "<i4").tobytes()
-                if len(word) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        look, out = self.words.__getitem__, []
+        lines = (" " + text.replace(MARK, " ")).split("\n") if self.line_end else [" " + text.replace(MARK, " ")]
+        for line in lines:
+            first, *rest = line.split(" ")
+            if "" in rest:
+                out.append(b"".join(map(look, self.runs.findall(line.replace(" ", MARK)))))
+            else:
+                out.append((look(first) if first else b"") + b"".join([look(MARK + w) for w in rest]))
+        return (self.line_end or b"").join(out)
 
     def encode(self, text: str, eos: bool = True) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<i4").tolist() + [self.eos] * eos
 
     def decode(self, ids: list[int]) -> str:
         """What the ids stand for; control ids are nothing, invalid bytes U+FFFD each, and the dummy prefix goes."""
-        table, runs = self.bytes, [[]]
-        for i in ids:  # bytes on the two sides of a control id are no character
-            runs.append([]) if i in self.control else runs[-1].append(table[i])
-        found = "".join([b"".join(r).decode("utf-8", "lodestone_each_byte") for r in runs])
+        table = self.bytes
+        if self.control.isdisjoint(ids):
+            found = b"".join(map(table.__getitem__, ids)).decode("utf-8", "lodestone_each_byte")
+        else:
+            runs: list[list[bytes]] = [[]]
+            for i in ids:  # bytes on the two sides of a control id are no character
+                runs.append([]) if i in self.control else runs[-1].append(table[i])
+            found = "".join([b"".join(r).decode("utf-8", "lodestone_each_byte") for r in runs])
         first = next((i for i in ids if i not in self.control), None)
         return found[1:] if first in self.marked else found
 
@@ -200,6 +247,8 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
 
     def run(ids: pa.Array) -> Iterator[pa.Array]:
         enc = encoder(model_path)
-        yield pa.array([enc.decode(x or []) for x in ids.to_pylist()], pa.string())
+        values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+        lists = (values[a : b - (b > a and values[b - 1] == enc.eos)].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True))  # the end id is nothing
+        yield pa.array([enc.decode(x) for x in lists], pa.string())
 
     return with_columns(df, [ids_col], {text_col: "string"}, run)

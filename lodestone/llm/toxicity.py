@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, with_columns
+from lodestone.llm.common import discard, materialize, slices, with_columns
 
 #: Characters per sequence; labelled documents used; discount; weight of the shared backoff in each class.
 ORDER, SAMPLE, DISCOUNT, PRIOR = 5, 20_000, 0.75, 5.0
@@ -163,7 +163,7 @@ def _sequence_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def _shared_counts(docs: DataFrame, wanted: DataFrame) -> list[dict[str, int]]:
     """Per order below ORDER: in how many contexts each wanted sequence is found over all documents."""
-    everywhere = _sequence_counts(docs, []).select("s")
+    everywhere = materialize(_sequence_counts(docs, []).select("s"), "sequences")
     levels = None
     for order in range(1, ORDER):
         one = everywhere.select(F.substring("s", ORDER - order, order + 1).alias("s")).distinct().groupBy(F.substring("s", 2, order).alias("s")).agg(F.count(F.lit(1)).alias("n"))
@@ -173,8 +173,9 @@ def _shared_counts(docs: DataFrame, wanted: DataFrame) -> list[dict[str, int]]:
     contexts = suffixes.select(F.expr("substring(s, 1, length(s) - 1)").alias("h")).distinct()
     kept = levels.withColumn("h", F.expr("substring(s, 1, length(s) - 1)")).join(F.broadcast(contexts), "h", "left_semi").select("s", "n")
     shared: list[dict[str, int]] = [{} for _ in range(ORDER)]
-    for s, n in zip(*kept.toPandas().values.T) if not kept.isEmpty() else []:
+    for s, n in kept.toPandas().itertuples(index=False):
         shared[len(s)][s] = int(n)
+    discard(everywhere)
     return shared
 
 
@@ -187,12 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     half = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 5) % 2
     chosen = usable.withColumn("half", half.cast("int")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("c", "half", "text")
-    grams = _sequence_counts(rows, ["c", "half"]).cache()
-    try:
-        counted = grams.toPandas()
-        shared = _shared_counts(docs.select("text"), grams.select("s").distinct())
-    finally:
-        grams.unpersist()
+    grams = materialize(_sequence_counts(rows, ["c", "half"]), "grams")
+    counted = grams.toPandas()
+    shared = _shared_counts(docs.select("text"), grams.select("s").distinct())
+    discard(grams)
 
     def model(halves: tuple[int, ...]) -> KneserNey:
         counts = []

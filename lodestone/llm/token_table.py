@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lodestone.llm.common import slices
+
 
 MAGIC, VERSION = b"LSSTABLE", 1
 FOOTER = struct.Struct("<8sHHQQQQQQ")  # magic, version, width, documents, ids, index offset and length, bloom offset and length
@@ -42,7 +44,7 @@ BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 #: Input bytes (as stored) that go to one file.
 SHARD_BYTES = 16 * 2**20
 #: Words whose ids a worker remembers; a full cache is emptied.
-CACHE = 1_000_000
+CACHE = 250_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -78,26 +80,67 @@ class WordEncoder:
 
     The pattern that splits texts drops white space and joins nothing across it,
     so words that ASCII white space parts are encoded apart with the same ids.
+    It also parts letters from the marks in ``MARKS``, so a word's trailing marks
+    are looked up on their own.  New words of letters alone go to the library as
+    one text: each is one part there, whose last piece has the word-end suffix.
     """
 
+    MARKS = b".,;:!?|*$%&#"
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 2**16
+        vocabulary = self.tokenizer.get_vocab()
+        self.wide = max(vocabulary.values()) >= 2**16
         self.dtype = "<u4" if self.wide else "<u2"
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        for piece, i in vocabulary.items():
+            self.last[i] = piece.endswith("</w>")
         self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+
+    def _one_by_one(self, words: list[bytes]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.cores[w] = np.array(e.ids, self.dtype).tobytes()
+
+    def _together(self, words: list[bytes]) -> None:
+        ids = np.array(self.tokenizer.encode_batch([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.dtype)
+        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        if len(ends) != len(words):  # a letter that lower-cases to several characters, say
+            return self._one_by_one(words)
+        data, width = ids.tobytes(), ids.itemsize
+        for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True):
+            self.cores[w] = data[a * width : b * width]
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        if len(self.words) + len(fresh) > CACHE:
+            self.words.clear()
+        if len(self.cores) + len(fresh) > CACHE:
+            self.cores.clear()
+        cut = []
+        for w in fresh:
+            core = w.rstrip(self.MARKS)
+            if len(core) < len(w) and not core.decode()[-1:].lower()[-1:].isalpha():  # its end might join the marks
+                core = w
+            cut.append((w, core, w[len(core) :]))
+        new = list(dict.fromkeys(x for _, core, marks in cut for x in (core, marks) if x and x not in self.cores))
+        letters = [w for w in new if w.decode().isalpha()]
+        for i in range(0, len(letters), 2000):
+            self._together(letters[i : i + 2000])
+        self._one_by_one([w for w in new if w not in self.cores])
+        for w, core, marks in cut:
+            self.words[w] = self.cores[core] + (self.cores[marks] if marks else b"")
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        cache, end = self.words, np.array([end_id], self.dtype).tobytes()
+        end = np.array([end_id], self.dtype).tobytes()
         split = [(t or "").encode().split() for t in texts]
-        fresh = list({w for words in split for w in words if w not in cache})
-        if len(cache) + len(fresh) > CACHE:
-            cache.clear()
-            fresh = list({w for words in split for w in words})
-        for i in range(0, len(fresh), 10_000):
-            some = fresh[i : i + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([cache[w] for w in words]) + end for words in split]
+        distinct = set().union(*split)
+        fresh = [w for w in distinct if w not in self.words]
+        if fresh:
+            before = len(self.words)
+            self._learn(fresh)
+            if len(self.words) < before + len(fresh):  # emptied meanwhile
+                self._learn([w for w in distinct if w not in self.words])
+        return [b"".join([self.words[w] for w in words]) + end for words in split]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -236,8 +279,7 @@ def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: st
             return pa.RecordBatch.from_arrays([pa.array(sections, pa.binary())], names=["section"])
 
         for part in parts:
-            for lo in range(0, part.num_rows, 2000):
-                some = part.slice(lo, 2000)
+            for some in slices(part):
                 full = [out.add(key_of(i), v) for i, v in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist(), end_id), strict=True)]
                 if full := [s for s in full if s is not None]:
                     yield rows_of([s[:-1] for s in full])

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, sentencepiece_bpe, sharding, simhash, token_table, toxicity
-from lodestone.llm.common import shared_dir, table
+from lodestone.llm import chat, html_extract, quality, sentencepiece_bpe, sharding, simhash, token_table, toxicity
+from lodestone.llm.common import fold, shared_dir, table
 
 #: A conversation whose texts hold another template's control strings.
 PROBE = '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}'
@@ -60,5 +60,17 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.add_scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), name="score")
-    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 0, F.lit(False))
+    held_out = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = quality.add_ratios(quality.add_statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    rules = quality.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(fold(F.col("doc_id")) != 0))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return docs.select("doc_id", *quality.STATISTICS, failed.alias("base_failed"), F.when(failed, False).otherwise(quality.verdict(rules) == 1).alias("kept"))
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, materialize, slices, with_columns
+from lodestone.llm.common import discard, fold, materialize, slices, with_columns
 
 #: Characters per sequence; labelled documents used; discount; weight of the shared backoff in each class.
 ORDER, SAMPLE, DISCOUNT, PRIOR = 5, 20_000, 0.75, 5.0
@@ -129,11 +129,6 @@ class Model:
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
 
 
-def fold(doc_id: Column) -> Column:
-    """0 for held-out documents, 1 to 4 for the rest; null for a null id."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5
-
-
 def _sequence_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, s, n: how often each sequence is in the rows' texts, per value of the (small) key columns."""
 

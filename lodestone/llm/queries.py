@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, html_extract, quality, sentencepiece_bpe, sharding, simhash, token_table, toxicity
+from lodestone.llm import chat, html_extract, line_dedup, quality, sentencepiece_bpe, sharding, simhash, token_table, toxicity
 from lodestone.llm.common import fold, shared_dir, table
 
 #: A conversation whose texts hold another template's control strings.
@@ -74,3 +74,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.deduplicate_lines(docs, counts=True).select("doc_id", "text", "n_lines", "n_dropped")

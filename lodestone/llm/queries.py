@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, html_extract, line_dedup, quality, sentencepiece_bpe, sharding, simhash, token_table, toxicity
+from lodestone.llm import chat, decontaminate, html_extract, line_dedup, quality, sentencepiece_bpe, sharding, simhash, token_table, toxicity
 from lodestone.llm.common import fold, shared_dir, table
 
 #: A conversation whose texts hold another template's control strings.
@@ -79,3 +79,7 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.deduplicate_lines(docs, counts=True).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaking_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

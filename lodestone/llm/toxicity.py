@@ -49,7 +49,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 class KneserNey:
-    """The two models; ``ratio`` is the log-likelihood ratio of a word per character, its end counted."""
+    """The two models over shared lower orders; used to make a table of ratios, not to score."""
 
     def __init__(self, counts: list[dict[str, int]], shared: list[dict[str, int]]):
         self.counts, self.shared = counts, shared
@@ -64,7 +64,6 @@ class KneserNey:
                 self.low_total[order][s[:-1]] += n
                 self.low_kinds[order][s[:-1]] += 1
         self.low: dict[str, float] = {"": 1e-3}
-        self.ratios: dict[str, tuple[float, int]] = {}
 
     def backoff(self, s: str) -> float:
         found = self.low.get(s)
@@ -75,30 +74,60 @@ class KneserNey:
             self.low[s] = found
         return found
 
+    def backoff_weight(self, c: int, before: str) -> float:
+        return (DISCOUNT * self.kinds[c].get(before, 0) + PRIOR) / (self.total[c].get(before, 0) + PRIOR)
+
     def probability(self, c: int, s: str) -> float:
         before, n = s[:-1], self.counts[c].get(s, 0)
-        return (max(n - DISCOUNT, 0) + (DISCOUNT * self.kinds[c].get(before, 0) + PRIOR) * self.backoff(s[1:])) / (self.total[c].get(before, 0) + PRIOR)
+        return max(n - DISCOUNT, 0) / (self.total[c].get(before, 0) + PRIOR) + self.backoff_weight(c, before) * self.backoff(s[1:])
 
-    def word(self, token: str) -> tuple[float, int]:
-        """Log-likelihood ratio and length of a token without punctuation at its edges; (0, 0) if nothing is left."""
-        found = self.ratios.get(token)
-        if found is None:
-            word = token.strip(EDGE)
-            found = (sum(math.log(self.probability(1, s) / self.probability(0, s)) for s in sequences(word)), len(word) + 1) if word else (0.0, 0)
-            if len(self.ratios) >= CACHE:
-                self.ratios.clear()
-                self.low = {"": 1e-3}
-            if len(token) <= 64:
-                self.ratios[token] = found
+    def ratios(self) -> Ratios:
+        """Log-likelihood ratios: of each sequence that a class has, and of all others by their first characters, for the backoff cancels there."""
+        seen = {s: math.log(self.probability(1, s) / self.probability(0, s)) for c in (0, 1) for s in self.counts[c]}
+        other = {h: math.log(self.backoff_weight(1, h) / self.backoff_weight(0, h)) for h in {*self.total[0], *self.total[1]}}
+        return Ratios(seen, other)
+
+
+class _Sequences(dict):
+    def __init__(self, seen: dict[str, float], other: dict[str, float]):
+        super().__init__(seen)
+        self.other = other
+
+    def __missing__(self, s: str) -> float:
+        return self.other.get(s[:-1], 0.0)
+
+
+class _Words(dict):
+    """Ratio and length of tokens, without punctuation at their edges; (0, 0) if nothing is left."""
+
+    def __init__(self, sequence_ratios: _Sequences):
+        super().__init__()
+        self.sequence_ratios = sequence_ratios
+
+    def __missing__(self, token: str) -> tuple[float, int]:
+        word = token.strip(EDGE)
+        found = (sum(map(self.sequence_ratios.__getitem__, sequences(word))), len(word) + 1) if word else (0.0, 0)
+        if len(self) >= CACHE:
+            self.clear()
+        if len(token) <= 64:
+            self[token] = found
         return found
 
+
+class Ratios:
+    def __init__(self, seen: dict[str, float], other: dict[str, float]):
+        self.seen, self.other = seen, other
+        self.words = _Words(_Sequences(seen, other))
+
+    def __reduce__(self):
+        return Ratios, (self.seen, self.other)
+
     def features(self, text: str | None) -> tuple[float, float]:
         """The ratio per character of the whole text, and the largest of its words."""
-        word = self.word
-        parts = [x for x in map(word, words_of(text)) if x[1]]
+        parts = [x for x in map(self.words.__getitem__, words_of(text)) if x[1]]
         if not parts:
             return 0.0, 0.0
-        return sum(r for r, _ in parts) / sum(n for _, n in parts), max(r / n for r, n in parts)
+        return sum([r for r, _ in parts]) / sum([n for _, n in parts]), max([r / n for r, n in parts])
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -116,15 +145,15 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What scoring needs: the two models and the curve, or one score for all where a class has no documents."""
+    """What scoring needs: the table of ratios and the curve, or one score for all where a class has no documents."""
 
-    def __init__(self, kn: KneserNey | None, curve: np.ndarray | None, prior: float):
-        self.kn, self.curve, self.prior = kn, curve, prior
+    def __init__(self, ratios: Ratios | None, curve: np.ndarray | None, prior: float):
+        self.ratios, self.curve, self.prior = ratios, curve, prior
 
     def score(self, text: str | None) -> float:
-        if self.kn is None:
+        if self.ratios is None:
             return self.prior
-        whole, most = self.kn.features(text)
+        whole, most = self.ratios.features(text)
         z = self.curve[0] * whole + self.curve[1] * most + self.curve[2]
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
 
@@ -156,9 +185,35 @@ def _sequence_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, "text").mapInArrow(count, schema).groupBy(*keys, "s").agg(F.sum("n").alias("n"))
 
 
+def _all_sequences(docs: DataFrame) -> DataFrame:
+    """s: every sequence of the texts once."""
+
+    def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        found: set[str] = set()
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["s"])
+
+        for part in (x for whole in parts for x in slices(whole)):
+            new = set().union(*map(words_of, part.column(0).to_pylist())) - seen
+            for token in new:
+                if word := token.strip(EDGE):
+                    found.update(sequences(word))
+            if len(seen) > CACHE:
+                seen.clear()
+            seen |= new
+            if len(found) > 2 * CACHE:
+                yield full()
+                found.clear()
+        yield full()
+
+    return docs.select("text").mapInArrow(find, "s string").distinct()
+
+
 def _shared_counts(docs: DataFrame, wanted: DataFrame) -> list[dict[str, int]]:
     """Per order below ORDER: in how many contexts each wanted sequence is found over all documents."""
-    everywhere = materialize(_sequence_counts(docs, []).select("s"), "sequences")
+    everywhere = materialize(_all_sequences(docs), "sequences")
     levels = None
     for order in range(1, ORDER):
         one = everywhere.select(F.substring("s", ORDER - order, order + 1).alias("s")).distinct().groupBy(F.substring("s", 2, order).alias("s")).agg(F.count(F.lit(1)).alias("n"))
@@ -188,12 +243,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     shared = _shared_counts(docs.select("text"), grams.select("s").distinct())
     discard(grams)
 
-    def model(halves: tuple[int, ...]) -> KneserNey:
+    def model(halves: tuple[int, ...]) -> Ratios:
         counts = []
         for c in (0, 1):
             own = counted[(counted["c"] == c) & counted["half"].isin(halves)].groupby("s")["n"].sum()
             counts.append({s: int(n) for s, n in own.items()})
-        return KneserNey(counts, shared)
+        return KneserNey(counts, shared).ratios()
 
     present = sorted(set(counted["c"].tolist()))
     if present != [0, 1]:

@@ -35,31 +35,41 @@ NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 MARKS = f"[{NUMBER}{UNIT}{NAME}]"
 
 
-def marked_words(text: Column) -> Column:
-    """Lowered words without punctuation; a placeholder's mark stands before its value.  Null is no words."""
-    t = F.translate(F.coalesce(text, F.lit("")), NUMBER + UNIT + NAME, "   ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})", NAME)
-    t = F.regexp_replace(t, r"(?<=\p{Nd})[.,:](?=\p{Nd})", "")
-    t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}{UNIT}{NAME}]+", " ")
-    t = F.regexp_replace(t, rf"(?<![^ ])(?=\p{{Nd}}+(?![^ ]))", NUMBER)
-    t = F.regexp_replace(t, rf"(?<={NUMBER}\p{{Nd}}{{1,18}} )(?=(?:{UNITS})(?![^ ]))", UNIT)
-    t = F.trim(t)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
-
-
-def template_of(words: Column) -> Column:
-    """Placeholders without their values."""
-    joined = F.regexp_replace(F.array_join(words, " "), f"({MARKS})[^ ]*", "$1")
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.split(joined, " "))
-
-
-def _windows(words: Column, size: int) -> Column:
-    """Hash and place of every window of ``size`` words."""
-    last = F.size(words) - size
-    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, F.lit(size)), F.lit(size)).alias("hash"), i.alias("at")))
+def templates(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``words``, lowered, without punctuation, a placeholder's mark before its value, and ``template``, without the values.
+
+    Both are words joined by spaces.  Each step is a column of its own, so that
+    nothing is worked out twice, and the rarer ones run where a text needs them.
+    Null is no words.
+    """
+    t = F.col("__t")
+    odd = F.contains(t, F.lit(NUMBER)) | F.contains(t, F.lit(UNIT)) | F.contains(t, F.lit(NAME))
+    found = rows.withColumn("__t", F.coalesce(text_col, F.lit("")))
+    found = found.withColumn("__t", F.when(odd, F.translate(t, NUMBER + UNIT + NAME, "   ")).otherwise(t))
+    found = found.withColumn("__t", F.when(t.rlike(r"\p{Nd}[.,:]\p{Nd}"), F.regexp_replace(t, r"(?<=\p{Nd})[.,:](?=\p{Nd})", "")).otherwise(t))
+    named = F.regexp_replace(t, r"([\p{Ll}\p{N},;:] )(?=\p{Lu}\p{Ll})", f"$1{NAME}")
+    found = found.withColumn("__t", F.trim(F.regexp_replace(F.lower(named), rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}{UNIT}{NAME}]+", " ")))
+    counted = F.regexp_replace(t, r"(?<![^ ])(?=\p{Nd}+(?![^ ]))", NUMBER)
+    counted = F.regexp_replace(counted, rf"(?<={NUMBER}\p{{Nd}}{{1,18}} )(?=(?:{UNITS})(?![^ ]))", UNIT)
+    found = found.withColumn("words", F.when(t.rlike(r"\p{Nd}"), counted).otherwise(t)).drop("__t")
+    return found.withColumn("template", F.when(F.col("words").rlike(MARKS), F.regexp_replace("words", f"({MARKS})[^ ]*", "$1")).otherwise(F.col("words")))
+
+
+def _split(words: str) -> Column:
+    return F.when(F.col(words) == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
+
+
+def _windows(hashes: Column, size: int) -> Column:
+    """Hash and place of every window of ``size`` words, from the words' hashes."""
+    last = F.size(hashes) - size
+    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(F.slice(hashes, i + 1, F.lit(size))).alias("hash"), i.alias("at")))
     return F.when(last >= 0, each).otherwise(F.array().cast("array<struct<hash:bigint,at:int>>"))
 
 
+def _hashes(template: str) -> Column:
+    return F.transform(_split(template), lambda w: F.xxhash64(w))
+
+
 def _values(words: Column, at: Column, size: Column) -> Column:
     """The values of the placeholders in a window."""
     return F.filter(F.slice(words, at + 1, size), lambda w: w.rlike(f"^{MARKS}"))
@@ -71,10 +81,10 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     Items alike in words and values are one, under their smallest id; items
     without enough words are none.
     """
-    words = benchmark.select(F.col(id_col).alias("item"), marked_words(F.col(text_col)).alias("words")).groupBy("words").agg(F.min("item").alias("item"))
-    items = words.where(F.size("words") >= LEAST_WORDS).withColumn("template", template_of(F.col("words"))).withColumn("size", F.least(F.lit(WINDOW), F.size("words")))
+    texts = templates(benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))).groupBy("words", "template").agg(F.min("item").alias("item"))
+    items = texts.select("item", _split("words").alias("words"), _hashes("template").alias("hashes")).where(F.size("words") >= LEAST_WORDS).withColumn("size", F.least(F.lit(WINDOW), F.size("words")))
     sizes = range(LEAST_WORDS, WINDOW + 1)
-    windows = F.coalesce(*[F.when(F.col("size") == k, _windows(F.col("template"), k)) for k in sizes])
+    windows = F.coalesce(*[F.when(F.col("size") == k, _windows(F.col("hashes"), k)) for k in sizes])
     rows = items.withColumn("w", F.explode(windows)).select("item", "size", "w.hash", "w.at", _values(F.col("words"), F.col("w.at"), F.col("size")).alias("values"))
     telling = rows.where(F.size("values") <= F.least(F.lit(MOST_SLOTS), F.floor(F.col("size") / 2)))
     counts = telling.groupBy("item").agg(F.least(F.lit(ENOUGH), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * SHARE))).cast("int").alias("needed"))
@@ -92,9 +102,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n = hashes.count()
     sizes = sorted(r[0] for r in hashes.select("size").distinct().collect())  # WINDOW - LEAST_WORDS + 1 at most
     texts = docs.select(F.xxhash64("text").alias("key"), "text")
-    prepared = texts.select("key", template_of(marked_words(F.col("text"))).alias("template"))
-    every = F.concat(*[_windows(F.col("template"), k) for k in sizes]) if sizes else F.array().cast("array<struct<hash:bigint,at:int>>")
-    windows = prepared.select("key", F.explode(every).alias("w")).select("key", "w.hash", "w.at")
+    prepared = templates(texts).select("key", _hashes("template").alias("hashes"))
+    every = F.concat(*[_windows(F.col("hashes"), k) for k in sizes]) if sizes else F.array().cast("array<struct<hash:bigint,at:int>>")
+    # not explode(): Spark would filter by the array's size first and, doing so, work the hashes out again for every window
+    windows = prepared.select("key", F.explode_outer(every).alias("w")).select("key", "w.hash", "w.at")
     wanted = hashes.select("hash")
     met = materialize(windows.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "hash", "left_semi").distinct(), "met-windows")
     # candidates with too few windows for any alignment go before texts are read again
@@ -106,7 +117,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     plain = aligned.where(~slots).select("key", "item", "needed", F.size("w").alias("windows"), F.lit(True).alias("same"))
     held = aligned.where(slots)
     by_text = held.groupBy("key").agg(F.collect_list(F.struct("item", "needed", "size", "w")).alias("a"))
-    owners = texts.join(by_text.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("key", marked_words(F.col("text")).alias("words"))
+    owners = texts.join(by_text.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    owners = templates(owners).select("key", _split("words").alias("words"))
     filled = owners.join(by_text, "key").select(
         "key",
         F.explode(

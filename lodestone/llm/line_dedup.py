@@ -15,6 +15,7 @@ distinct lines grows ``DEPTH`` more levels.  Leaves are read in order, a run of
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import groupby
@@ -25,20 +26,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, slices, with_columns
+from lodestone.llm.common import materialize, slices
 
 #: Leading words that the tree compares; share of equal places in a template; words that a line needs; lines of a leaf at once.
 DEPTH, ALIKE, LEAST_WORDS, LEAF = 4, 0.85, 4, 512
 #: Words that a worker remembers.
 CACHE = 400_000
-DIGITS = frozenset(b"0123456789")
+DIGIT = re.compile(rb"[0-9]")
+#: Stands for a variable field; a zero byte that is a word by itself counts as one too.
+FIELD = b"\0"
 
 
 class _Marks(dict):
-    """Four bytes for a word: its checksum, or zeros for a variable field."""
+    """Two bytes for a word: of its checksum, or zeros for a variable field."""
 
     def __missing__(self, word: bytes) -> bytes:
-        mark = b"\0\0\0\0" if DIGITS.intersection(word) else (zlib.crc32(word) or 1).to_bytes(4, "little")
+        mark = b"\0\0" if word == FIELD else (zlib.crc32(word) % 65535 + 1).to_bytes(2, "little")
         if len(self) >= CACHE:
             self.clear()
         if len(word) <= 64:
@@ -51,12 +54,16 @@ def _signed(data: bytes, seed: int = 0) -> int:
     return n - 2**64 if n >= 2**63 else n
 
 
-def lines_of(text: str | None, marks: dict[bytes, bytes]) -> Iterator[tuple[int, bytes]]:
-    """Number and word marks of each line with enough words; white space is the ASCII kind."""
-    for number, line in enumerate((text or "").encode().split(b"\n")):
+def lines_of(text: str | None) -> Iterator[tuple[int, list[bytes]]]:
+    """Number and words of each line with enough words, variable fields as FIELD; white space is the ASCII kind."""
+    raw = (text or "").encode()
+    digits = DIGIT.search(raw) is not None
+    for number, line in enumerate(raw.split(b"\n")):
         words = line.split()
         if len(words) >= LEAST_WORDS:
-            yield number, b"".join([marks[w] for w in words])
+            if digits and DIGIT.search(line):
+                words = [FIELD if DIGIT.search(w) else w for w in words]
+            yield number, words
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -68,18 +75,18 @@ def _lines(rows: DataFrame, places: bool) -> DataFrame:
     """doc_id, key, number, line (hash) and, with ``places``, leaf and two bytes per word where a template could vary."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = _Marks()
+        mark = _Marks().__getitem__
+        least = next(n for n in range(1, 1000) if int((1 - ALIKE) * n + 1e-9))
         for part in (x for whole in parts for x in slices(whole)):
             found: list[tuple] = []
             for doc_id, key, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                for number, line in lines_of(text, marks):
-                    n = len(line) // 4
+                for number, words in lines_of(text):
+                    line = _signed(b" ".join(words))
                     if places:
-                        vary = int((1 - ALIKE) * n + 1e-9) > 0
-                        short = np.frombuffer(line, "<u2")[::2].tobytes() if vary else b""
-                        found.append((doc_id, key, number, _signed(line), _signed(n.to_bytes(4, "little") + line[: 4 * DEPTH]), short))
+                        short = b"".join(map(mark, words)) if len(words) >= least else b""
+                        found.append((doc_id, key, number, line, _signed(b" ".join(words[:DEPTH]), len(words)), short))
                     else:
-                        found.append((doc_id, key, number, _signed(line)))
+                        found.append((doc_id, key, number, line))
             columns = list(zip(*found, strict=True)) or [()] * (6 if places else 4)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             names = ["doc_id", "key", "number", "line", "leaf", "short"]
@@ -170,21 +177,11 @@ def deduplicate_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = dropped_lines(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key")))
     joined = keyed.join(gone.select(F.col("key").alias("__key"), F.col("numbers").alias("__gone")), "__key", "left")
 
-    def run(texts: pa.Array, numbers: pa.Array) -> Iterator[pa.Array]:
-        out, sizes, cuts = [], [], []
-        for text, gone in zip(texts.to_pylist(), numbers.to_pylist(), strict=True):
-            lines = text.split("\n") if text is not None else []
-            if gone:
-                cut = set(gone)
-                text = "\n".join([x for i, x in enumerate(lines) if i not in cut])
-            out.append(text)
-            sizes.append(len(lines))
-            cuts.append(len(gone or ()))
-        yield pa.array(out, pa.string())
-        if counts:
-            yield pa.array(sizes, pa.int64())
-            yield pa.array(cuts, pa.int64())
-
-    new = {text_col: "string"} | ({"n_lines": "long", "n_dropped": "long"} if counts else {})
-    found = with_columns(joined, [text_col, "__gone"], new, run)
-    return found.select(*df.columns, *(c for c in new if c not in df.columns))
+    lines = F.split(text_col, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    rewritten = F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n")
+    found = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), lines))
+    if counts:
+        found = found.withColumn("n_lines", F.coalesce(F.size(lines).cast("long"), F.lit(0))).withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+    found = found.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rewritten))
+    return found.select(*df.columns, *(c for c in ("n_lines", "n_dropped") if counts and c not in df.columns))

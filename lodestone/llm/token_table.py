@@ -22,6 +22,8 @@ order is number order; a null id is the empty key and comes first.
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm.common import slices
+from lodestone.llm.common import materialize, slices
 
 
 MAGIC, VERSION = b"LSSTABLE", 1
@@ -42,7 +44,7 @@ ENTRY = struct.Struct("<QQQIH")
 BLOCK_BYTES = 64 * 1024
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 #: Input bytes (as stored) that go to one file.
-SHARD_BYTES = 16 * 2**20
+SHARD_BYTES = 8 * 2**20
 #: Words whose ids a worker remembers; a full cache is emptied.
 CACHE = 250_000
 
@@ -80,14 +82,17 @@ class WordEncoder:
 
     The pattern that splits texts drops white space and joins nothing across it,
     so words that ASCII white space parts are encoded apart with the same ids.
-    It also parts letters from the marks in ``MARKS``, so a word's trailing marks
-    are looked up on their own.  New words of letters alone go to the library as
-    one text: each is one part there, whose last piece has the word-end suffix.
+    It lowers letters and parts them from marks: texts are lowered in ASCII (unless
+    they may hold special tokens, which know case) and a run of ``MARKS`` between
+    such a letter and white space is a word of its own.  New words of letters alone
+    go to the library as one text: each is one part there, whose last piece has the
+    word-end suffix.
     """
 
-    MARKS = b".,;:!?|*$%&#"
+    MARKS = re.compile(rb"(?<=[a-z])([.,;:!?|*$%&#]+)(?=[ \t\n\v\f\r]|$)")
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.wide = max(vocabulary.values()) >= 2**16
@@ -96,11 +101,10 @@ class WordEncoder:
         for piece, i in vocabulary.items():
             self.last[i] = piece.endswith("</w>")
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
 
     def _one_by_one(self, words: list[bytes]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.cores[w] = np.array(e.ids, self.dtype).tobytes()
+            self.words[w] = np.array(e.ids, self.dtype).tobytes()
 
     def _together(self, words: list[bytes]) -> None:
         ids = np.array(self.tokenizer.encode_batch([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.dtype)
@@ -108,39 +112,33 @@ class WordEncoder:
         if len(ends) != len(words):  # a letter that lower-cases to several characters, say
             return self._one_by_one(words)
         data, width = ids.tobytes(), ids.itemsize
-        for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True):
-            self.cores[w] = data[a * width : b * width]
+        self.words.update(zip(words, [data[a * width : b * width] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
 
     def _learn(self, fresh: list[bytes]) -> None:
-        if len(self.words) + len(fresh) > CACHE:
-            self.words.clear()
-        if len(self.cores) + len(fresh) > CACHE:
-            self.cores.clear()
-        cut = []
+        letters, others = [], []
         for w in fresh:
-            core = w.rstrip(self.MARKS)
-            if len(core) < len(w) and not core.decode()[-1:].lower()[-1:].isalpha():  # its end might join the marks
-                core = w
-            cut.append((w, core, w[len(core) :]))
-        new = list(dict.fromkeys(x for _, core, marks in cut for x in (core, marks) if x and x not in self.cores))
-        letters = [w for w in new if w.decode().isalpha()]
+            (letters if w.decode().isalpha() else others).append(w)
         for i in range(0, len(letters), 2000):
             self._together(letters[i : i + 2000])
-        self._one_by_one([w for w in new if w not in self.cores])
-        for w, core, marks in cut:
-            self.words[w] = self.cores[core] + (self.cores[marks] if marks else b"")
+        if others:
+            self._one_by_one(others)
+
+    def _split(self, text: str | None) -> list[bytes]:
+        raw = (text or "").encode()
+        return (raw if b"<|" in raw else self.MARKS.sub(rb" \1", raw.lower())).split()
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         end = np.array([end_id], self.dtype).tobytes()
-        split = [(t or "").encode().split() for t in texts]
-        distinct = set().union(*split)
-        fresh = [w for w in distinct if w not in self.words]
-        if fresh:
-            before = len(self.words)
-            self._learn(fresh)
-            if len(self.words) < before + len(fresh):  # emptied meanwhile
-                self._learn([w for w in distinct if w not in self.words])
-        return [b"".join([self.words[w] for w in words]) + end for words in split]
+        if len(self.words) > CACHE:
+            self.words.clear()
+        split = [self._split(t) for t in texts]
+        known = [list(map(self.words.get, words)) for words in split]
+        missing = [None in ids for ids in known]
+        if any(missing):
+            self._learn(list({w for words, ids, m in zip(split, known, missing, strict=True) if m for w, i in zip(words, ids, strict=True) if i is None}))
+            look = self.words.__getitem__
+            known = [map(look, words) if m else ids for words, ids, m in zip(split, known, missing, strict=True)]
+        return [b"".join(ids) + end for ids in known]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -252,12 +250,6 @@ class TableReader:
         return found
 
 
-def ids_in(data: bytes) -> int:
-    """The number of ids in a file, from its footer alone."""
-    data = memoryview(data)
-    return FOOTER.unpack(data[-FOOTER.size - 1 : -1])[4] if len(data) > FOOTER.size else 0
-
-
 def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write the files to ``path``, which any Spark file system may hold.
 
@@ -279,7 +271,7 @@ def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: st
             return pa.RecordBatch.from_arrays([pa.array(sections, pa.binary())], names=["section"])
 
         for part in parts:
-            for some in slices(part):
+            for some in slices(part, 2 * 2**20):
                 full = [out.add(key_of(i), v) for i, v in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist(), end_id), strict=True)]
                 if full := [s for s in full if s is not None]:
                     yield rows_of([s[:-1] for s in full])
@@ -295,18 +287,10 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str, make: Callable[[np.ndarray], object], kind: str, name: str) -> DataFrame:
     """doc_id, start, n_tokens and ``name``, which ``make`` computes from each document's ids as 32-bit numbers.
 
-    ``start`` counts the ids of all documents before it, over all files: the
-    footers, one short row per file, give each file's first number.
+    ``start`` counts the ids of all documents before it, over all files: each
+    file is read once, and its number of ids, one short row per file, gives the
+    first number of the next.
     """
-    def footers(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            counts = [ids_in(x.as_buffer()) for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], names=["file", "ids"])
-
-    files = _files(spark, path)
-    counts = files.mapInArrow(footers, "file string, ids long")
-    bases = counts.select("file", (F.sum("ids").over(Window.orderBy("file")) - F.col("ids")).alias("base"))
-
     def entries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for file, data in zip(part.column(0).to_pylist(), part.column(1), strict=True):
@@ -319,7 +303,10 @@ def read(spark: SparkSession, path: str, make: Callable[[np.ndarray], object], k
                     ids, before, values = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([file] * len(ids)), pa.array(ids, pa.int64()), pa.array(before, pa.int64()), pa.array([len(v) for v in values], pa.int64()), pa.array([make(v) for v in values])], names=["file", "doc_id", "at", "n_tokens", name])
 
-    rows = files.mapInArrow(entries, f"file string, doc_id long, at long, n_tokens long, {name} {kind}")
+    rows = _files(spark, path).mapInArrow(entries, f"file string, doc_id long, at long, n_tokens long, {name} {kind}")
+    rows = materialize(rows, "token-rows")
+    counts = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
+    bases = counts.select("file", (F.sum("ids").over(Window.orderBy("file")) - F.col("ids")).alias("base"))
     return rows.join(F.broadcast(bases), "file").select("doc_id", (F.col("at") + F.col("base")).alias("start"), "n_tokens", name)
 
 

@@ -110,7 +110,7 @@ def communities(entities: DataFrame, weighted: DataFrame, halve_between: bool =
         return pd.DataFrame({"entity_id": ids, "community_id": louvain(len(ids), edges, halve_between)})
 
     kind_of = int if kind in ("int", "bigint", "smallint") else str
-    return node.unionAll(edge).groupBy(F.lit(1)).applyInPandas(lambda p: run(p), f"entity_id {kind}, community_id int")
+    return node.unionAll(edge).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda p: run(p), f"entity_id {kind}, community_id int")
 
 
 def spread(entities: DataFrame, weighted: DataFrame, rounds: int = 10) -> DataFrame:

@@ -79,13 +79,13 @@ def ingest_bulk(spark, sf_dir):
 
 def text_clean(spark, sf_dir):
     t = text.clean_text(F.concat(F.lit("\x00a\x07\r\n"), F.col("text")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(t).alias("clean_chars"), F.md5(t).alias("clean_md5"), text.approx_tokens(F.col("text")).alias("tokens"), text.excerpt(F.col("text"), 300).alias("excerpt"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(t).cast("long").alias("clean_chars"), F.md5(t).alias("clean_md5"), text.approx_tokens(F.col("text")).alias("tokens"), text.excerpt(F.col("text"), 300).alias("excerpt"))
 
 
 def log_windows(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", sniff.lines(F.col("text")).alias("lines"))
     docs = rows.select("doc_id", F.explode_outer(normalize.windows(F.col("lines"))).alias("w")).where("w is not null")
-    return docs.select("doc_id", F.col("w.window").alias("window"), F.md5("w.text").alias("text_md5"), F.length("w.text").alias("n_chars"))
+    return docs.select("doc_id", F.col("w.window").alias("window"), F.md5("w.text").alias("text_md5"), F.length("w.text").cast("long").alias("n_chars"))
 
 
 def sniff_labels(spark, sf_dir):

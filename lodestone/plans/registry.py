@@ -17,7 +17,7 @@ def queries() -> dict[str, Query]:
 
 EDGES = """
 m AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS e FROM lineitem),
-edges AS (SELECT a.e AS src_id, b.e AS dst_id, count(*) AS source_count, least(1.0, 0.6 + 0.08 * count(*)) AS strength
+edges AS (SELECT a.e AS src_id, b.e AS dst_id, count(*) AS source_count, least(1.0, 0.6 + 0.08 * count(*))::DOUBLE AS strength
   FROM m a JOIN m b ON a.c = b.c AND a.e < b.e GROUP BY 1, 2),
 ents AS (SELECT p_partkey AS entity_id, p_brand AS kind, p_name AS value, coalesce(n, 0) AS mention_count
   FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey),

@@ -114,13 +114,17 @@ def communities(entities: DataFrame, weighted: DataFrame, halve_between: bool =
 
 
 def spread(entities: DataFrame, weighted: DataFrame, rounds: int = 10) -> DataFrame:
-    """Label propagation: every node takes the label with the most weight around it; for graphs beyond one task."""
+    """Label propagation: a node takes the label with the most weight around it; for graphs beyond one task.
+
+    Half of the nodes move in a round, by a hash of id and round, so that neighbours don't swap labels for ever.
+    """
     both = weighted.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"), "weight").unionAll(weighted.select(F.col("dst_id").alias("a"), F.col("src_id").alias("b"), "weight"))
     labels = entities.select("entity_id", F.col("entity_id").alias("label"))
-    for _ in range(rounds):
+    for number in range(rounds):
         votes = both.join(labels.withColumnRenamed("entity_id", "b"), "b").groupBy("a", "label").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("a").agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("new"))
-        labels = labels.join(best.withColumnRenamed("a", "entity_id"), "entity_id", "left").select("entity_id", F.coalesce("new", "label").alias("label")).checkpoint()
+        moves = F.pmod(F.xxhash64("entity_id", F.lit(number)), F.lit(2)) == 0
+        labels = labels.join(best.withColumnRenamed("a", "entity_id"), "entity_id", "left").select("entity_id", F.when(moves, F.coalesce("new", "label")).otherwise(F.col("label")).alias("label")).checkpoint()
     numbers = labels.groupBy("label").agg(F.min("entity_id").alias("first"))
     return labels.join(numbers, "label").select("entity_id", F.pmod(F.xxhash64("first"), F.lit(2**31 - 1)).cast("int").alias("community_id"))
 

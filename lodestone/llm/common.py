@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 4 * 2**20
+SLICE_BYTES = 2**20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,23 +29,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._lodestone_path = path
     return found
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``df``, once nothing reads it any more."""
     path = getattr(df, "_lodestone_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+        _written.remove(path)
+
+
+def written() -> set[str]:
+    """The tables that ``materialize`` wrote and nothing has deleted."""
+    return set(_written)
+
+
+def sweep(spark: SparkSession, paths: set[str]) -> None:
+    """Delete tables that ``materialize`` wrote: for a caller that has written every result that reads them."""
+    for path in paths & written():
+        _delete(spark, path)
+        _written.remove(path)
 
 
 def bits_between(a: Column, b: Column) -> Column:

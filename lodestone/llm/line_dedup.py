@@ -31,7 +31,7 @@ from lodestone.llm.common import materialize, slices
 #: Leading words that the tree compares; share of equal places in a template; words that a line needs; lines of a leaf at once.
 DEPTH, ALIKE, LEAST_WORDS, LEAF = 4, 0.85, 4, 512
 #: Words that a worker remembers.
-CACHE = 400_000
+CACHE = 150_000
 DIGIT = re.compile(rb"[0-9]")
 #: Stands for a variable field; a zero byte that is a word by itself counts as one too.
 FIELD = b"\0"

@@ -34,7 +34,7 @@ from lodestone.llm.common import with_columns
 
 MARK = "▁"
 #: Words, and pairs of pieces, that each worker remembers; a full cache is emptied.
-CACHE = 600_000
+CACHE = 300_000
 
 
 def _each_invalid_byte(error: UnicodeError) -> tuple[str, int]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bits_between, materialize, with_columns
+from lodestone.llm.common import bits_between, materialize, slices, with_columns
 from lodestone.llm.components import connected_components
 
 BITS = 64
@@ -67,37 +67,43 @@ def add_fingerprints(df: DataFrame, text_col: str = "text", name: str = "simhash
     return with_columns(df, [text_col], {name: "long"}, run)
 
 
-def _bits(values: np.ndarray) -> np.ndarray:
-    return np.unpackbits(values.astype("<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little")
+def _words(part: pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
+    """Fingerprints of a batch as rows of unsigned words."""
+    return np.column_stack([part.column(c).to_numpy().view("u8") for c in names]) if part.num_rows else np.zeros((0, len(names)), "u8")
 
 
-def together(prints: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of fingerprints and, for every two bits, how many have both; 64 x 64 sums whatever the input."""
+def _bits(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words, "<u8").view("u1").reshape(len(words), -1), axis=1, bitorder="little")
+
+
+def together(prints: DataFrame, names: tuple[str, ...] = ("fp",)) -> tuple[int, np.ndarray]:
+    """The number of fingerprints and, for every two bits, how many have both; bits squared sums whatever the input."""
+    size = BITS * len(names)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros((BITS, BITS), np.int64), 0
+        total, seen = np.zeros((size, size), np.int64), 0
         for part in parts:
-            bits = _bits(part.column(0).to_numpy()).astype(np.float32)
+            bits = _bits(_words(part, names)).astype(np.float32)
             total += np.rint(bits.T @ bits).astype(np.int64)
             seen += len(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BITS * BITS + 1), pa.int32()), pa.array([*total.ravel().tolist(), seen])], names=["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(size * size + 1), pa.int32()), pa.array([*total.ravel().tolist(), seen])], names=["at", "n"])
 
-    sums = prints.select("fp").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    flat = np.zeros(BITS * BITS + 1, np.int64)
+    sums = prints.select(*names).mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    flat = np.zeros(size * size + 1, np.int64)
     for at, n in sums.collect():
         flat[at] = n
-    return int(flat[-1]), flat[:-1].reshape(BITS, BITS)
+    return int(flat[-1]), flat[:-1].reshape(size, size)
 
 
 def group_bits(n: int, both: np.ndarray, parts: int = PARTS) -> list[list[int]]:
     """Bits in groups of near-equal size, the most correlated ones in the same group."""
     if not n:
-        return [list(range(i, BITS, parts)) for i in range(parts)]
+        return [list(range(i, len(both), parts)) for i in range(parts)]
     share = np.diag(both) / n
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-12))
     alike = np.abs(both / n - np.outer(share, share)) / np.outer(spread, spread)
     np.fill_diagonal(alike, 0)
-    free, groups = set(range(BITS)), []
+    free, groups = set(range(len(both))), []
     for k in range(parts):
         size = -(-len(free) // (parts - k))
         order = sorted(free)
@@ -117,30 +123,29 @@ def _pieces(group: list[int]) -> list[list[int]]:
     return [group[i::n] for i in range(n)]
 
 
-def _project(values: np.ndarray, bits: list[int]) -> np.ndarray:
-    values = values.astype("u8")
-    out = np.zeros(len(values), "u8")
+def _project(words: np.ndarray, bits: list[int]) -> np.ndarray:
+    out = np.zeros(len(words), "u8")
     for i, b in enumerate(bits):
-        out |= (values >> np.uint64(b) & np.uint64(1)) << np.uint64(i)
+        out |= (words[:, b // BITS] >> np.uint64(b % BITS) & np.uint64(1)) << np.uint64(i)
     return out
 
 
-def histograms(prints: DataFrame, groups: list[list[int]], radius: int) -> list[list[np.ndarray]]:
+def histograms(prints: DataFrame, groups: list[list[int]], radius: int, names: tuple[str, ...] = ("fp",)) -> list[list[np.ndarray]]:
     """Per group and piece: for each piece value, the share of fingerprints at distance 0..radius from it."""
     pieces = [p for g in groups for p in _pieces(g)]
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = [np.zeros(1 << len(p), np.int64) for p in pieces]
         for part in parts:
-            values = part.column(0).to_numpy()
+            words = _words(part, names)
             for total, p in zip(totals, pieces, strict=True):
-                total += np.bincount(_project(values, p).astype(np.int64), minlength=len(total))
+                total += np.bincount(_project(words, p).astype(np.int64), minlength=len(total))
         flat = np.concatenate(totals)
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("i4")), pa.array(flat[at])], names=["at", "n"])
 
     flat = np.zeros(sum(1 << len(p) for p in pieces), np.float64)
-    for at, n in prints.select("fp").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+    for at, n in prints.select(*names).mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         flat[at] = n
     found, at = [], 0
     for p in pieces:
@@ -156,31 +161,36 @@ def histograms(prints: DataFrame, groups: list[list[int]], radius: int) -> list[
     return out
 
 
-def allocate(values: np.ndarray, n: int, groups: list[list[int]], shares: list[list[np.ndarray]], radius: int) -> np.ndarray:
-    """Thresholds (rows x groups, from -1) of least estimated cost that sum to radius - groups + 1."""
-    rows, top = len(values), radius + 1  # thresholds plus one sum to radius + 1
-    cost = np.zeros((len(groups), top + 1, rows))
+def allocate(words: np.ndarray, n: int, groups: list[list[int]], shares: list[list[np.ndarray]], radius: int, total: int | None = None) -> np.ndarray:
+    """Thresholds (rows x groups, from -1 to ``radius``) of least estimated cost; plus one each they sum to ``total``.
+
+    By default that is radius + 1, so that thresholds sum to radius - groups + 1.
+    """
+    rows, top = len(words), radius + 1 if total is None else total
+    cost = np.full((len(groups), top + 1, rows), np.inf)
+    cost[:, 0] = 0
     for g, group in enumerate(groups):
         near = np.zeros((radius + 1, rows))
         near[0] = 1
         for piece, share in zip(_pieces(group), shares[g], strict=True):
-            own = share[_project(values, piece).astype(np.int64)].T
+            own = share[_project(words, piece).astype(np.int64)].T
             near = np.stack([sum(near[i] * own[d - i] for i in range(d + 1)) for d in range(radius + 1)])
         ball, size = 0, 1
         for t in range(radius + 1):
             ball += size
             size = size * (len(group) - t) // (t + 1)
-            cost[g, t + 1] = n * near[: t + 1].sum(axis=0) + PROBE_COST * ball
+            if t + 1 <= top:
+                cost[g, t + 1] = n * near[: t + 1].sum(axis=0) + PROBE_COST * ball
     best = np.full((len(groups) + 1, top + 1, rows), np.inf)
     best[0, 0] = 0
     took = np.zeros((len(groups), top + 1, rows), np.int8)
     for g in range(len(groups)):
-        for total in range(top + 1):
-            for u in range(total + 1):
-                c = best[g, total - u] + cost[g, u]
-                better = c < best[g + 1, total]
-                best[g + 1, total] = np.where(better, c, best[g + 1, total])
-                took[g, total] = np.where(better, u, took[g, total])
+        for s in range(top + 1):
+            for u in range(min(s, radius + 1) + 1):
+                c = best[g, s - u] + cost[g, u]
+                better = c < best[g + 1, s]
+                best[g + 1, s] = np.where(better, c, best[g + 1, s])
+                took[g, s] = np.where(better, u, took[g, s])
     out, left = np.zeros((rows, len(groups)), np.int8), np.full(rows, top)
     for g in range(len(groups) - 1, -1, -1):
         out[:, g] = took[g, left, np.arange(rows)]
@@ -200,14 +210,14 @@ def _keys(prints: DataFrame, groups: list[list[int]], n: int, shares: list[list[
         for part in parts:
             fp, rep = part.column(0).to_numpy(), part.column(1).to_numpy()
             for g, group in enumerate(groups):
-                yield rows(_project(fp.view("u8"), group), g, fp, rep)
+                yield rows(_project(fp.view("u8")[:, None], group), g, fp, rep)
 
     def probe(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             fp, rep = part.column(0).to_numpy(), part.column(1).to_numpy()
-            chosen = allocate(fp.view("u8"), n, groups, shares, radius)
+            chosen = allocate(fp.view("u8")[:, None], n, groups, shares, radius)
             for g, group in enumerate(groups):
-                key = _project(fp.view("u8"), group)
+                key = _project(fp.view("u8")[:, None], group)
                 for t in range(radius + 1):
                     at = np.flatnonzero(chosen[:, g] == t)
                     for mask in flips[g][: within[g][t]] if len(at) else []:
@@ -258,7 +268,137 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(by_print, "simhash", "left").select("doc_id", "simhash", "component_id")
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 5) -> DataFrame:
-    """Keep the rows whose id is the smallest of its component; rows without an id are kept."""
-    keep = near_duplicates(df, id_col, text_col, radius, shingle).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(keep, id_col, "left_anti")
+# similar texts
+
+#: Words in a shingle, bits that candidates may differ in (19.4 of 128 on average at a similarity of 0.8), and in the first half of them.
+SHINGLE, APART, APART_HALF = 5, 30, 18
+#: Similarity of a link; hashes of a text's sketch, which is the whole text up to so many shingles; what an estimate from sketches may fall short by (its standard error is 0.025).
+ALIKE, SKETCH, SHORT_BY = 0.8, 256, 0.04
+#: Rows of one key that each row is compared with, by id; beyond them, with the key's first.
+NEAREST = 16
+WIDE = ("lo", "hi")
+
+
+def wide_fingerprint(text: str | None, shingle: int = SHINGLE) -> tuple[int, int, int, bytes]:
+    """128 bits as two words, one vote per distinct shingle; the number of those; the least 32-bit hashes of them, in order."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0, 0, 0, b""
+    k = min(shingle, len(words))
+    digest = xxhash.xxh3_128_digest
+    found = np.frombuffer(b"".join({digest(b" ".join(words[i : i + k])) for i in range(len(words) - k + 1)}), "u1").reshape(-1, 16)
+    votes = np.zeros(2 * BITS, np.int64)
+    for lo in range(0, len(found), BLOCK):
+        votes += np.unpackbits(found[lo : lo + BLOCK], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    lo, hi = np.packbits(2 * votes > len(found), bitorder="little").view("<u8").tolist()
+    return lo, hi, len(found), np.unique(np.ascontiguousarray(found[:, :4]).view("<u4"))[:SKETCH].tobytes()
+
+
+def similarity(a: bytes, b: bytes, n_a: int, n_b: int) -> float:
+    """Of two texts' shingles: exact if both sketches are whole, else estimated from the least hashes of the union."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    union = np.union1d(x, y)
+    if max(n_a, n_b) > SKETCH:
+        union = union[:SKETCH]
+    if not len(union):
+        return 1.0
+    return float(np.searchsorted(np.intersect1d(x, y, assume_unique=True), union[-1], "right") / len(union))
+
+
+def similar_links(prints: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links (a, b: reps) among distinct wide fingerprints (lo, hi, n, rep) of texts that are alike; ``sketches`` has doc_id, lo, hi, sketch.
+
+    Every fingerprint takes its keys within a bit of its own in all groups but
+    the one that would cost most, so two of them meet if some group has them
+    within two bits: certain up to 3 m - 3 bits apart in m groups, and likely
+    beyond.  Groups get narrower as there are fewer texts, to hold a few per key.
+    What meets is verified by its bits and number of shingles, then by its shingles.
+    """
+    n, both = together(prints, WIDE)
+    width = max(n, 2).bit_length() + 3
+    groups = group_bits(n, both, max(2, 2 * BITS // width))
+    shares, total = histograms(prints, groups, 1, WIDE), 2 * len(groups) - 1
+    masks = [[np.uint64(0), *(np.uint64(1 << i) for i in range(len(g)))] for g in groups]
+
+    def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for whole in parts for x in slices(whole)):
+            words, rep = _words(part, WIDE), part.column("rep").to_numpy()
+            radius = allocate(words, n, groups, shares, 1, total)
+            for g, group in enumerate(groups):
+                own = _project(words, group) | np.uint64(g) << np.uint64(56)
+                for t, flips in ((0, masks[g][:1]), (1, masks[g])):
+                    at = np.flatnonzero(radius[:, g] == t)
+                    for mask in flips if len(at) else ():
+                        yield pa.RecordBatch.from_arrays([pa.array((own[at] ^ mask).view("i8")), pa.array(rep[at]), pa.array(words[at, 0].view("i8"))], names=["k", "rep", "lo"])
+
+    def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over rows sorted by key and id; the last rows of a batch are seen again with the next."""
+        held = np.zeros((0, 3), np.int64)
+        for part in parts:
+            rows = np.concatenate([held, np.column_stack([c.to_numpy() for c in part.columns])])
+            key, rep, lo = (np.ascontiguousarray(rows[:, i]) for i in range(3))
+            lo = lo.view("u8")
+            found = []
+            fresh = np.arange(max(0, len(held) - NEAREST), len(rows))
+            for lag in range(1, NEAREST + 1):
+                fresh = fresh[fresh + lag < len(rows)]
+                fresh = fresh[key[fresh] == key[fresh + lag]]
+                if not len(fresh):
+                    break
+                pair = fresh[(fresh + lag >= len(held)) & (np.bitwise_count(lo[fresh] ^ lo[fresh + lag]) <= APART_HALF)]
+                found.append(np.column_stack([rep[pair], rep[pair + lag]]))
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(rows) else np.zeros(0, int)
+            first = np.repeat(starts, np.diff(np.append(starts, len(rows))))
+            far = np.flatnonzero(np.arange(len(rows)) - first > NEAREST)
+            far = far[(far >= len(held)) & (np.bitwise_count(lo[far] ^ lo[first[far]]) <= APART_HALF)]
+            found.append(np.column_stack([rep[first[far]], rep[far]]))
+            pairs = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+            open_at = starts[-1] if len(starts) else 0  # the key's first row stays, and the nearest ones
+            tail = rows[max(open_at, len(rows) - NEAREST) :]
+            held = np.concatenate([rows[open_at : open_at + 1], tail]) if len(rows) and len(rows) - open_at > NEAREST else tail
+
+    rows = prints.select(*WIDE, "rep").mapInArrow(keys, "k long, rep long, lo long")
+    near = materialize(rows.repartition("k").sortWithinPartitions("k", "rep").mapInArrow(meet, "a long, b long").where("a <> b").distinct(), "candidates")
+    x = prints.select(F.col("rep").alias("a"), *(F.col(c).alias(f"{c}_a") for c in (*WIDE, "n")))
+    y = prints.select(F.col("rep").alias("b"), *(F.col(c).alias(f"{c}_b") for c in (*WIDE, "n")))
+    apart = bits_between(F.col("lo_a"), F.col("lo_b")) + bits_between(F.col("hi_a"), F.col("hi_b"))
+    alike = (apart <= APART) & (F.least("n_a", "n_b") >= ALIKE * F.greatest("n_a", "n_b"))
+    found = near.join(x, "a").join(y, "b").where(alike)
+    for side in "ab":
+        named = sketches.select(F.col("doc_id").alias(side), F.col("lo").alias(f"lo_{side}"), F.col("hi").alias(f"hi_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+        found = found.join(named, [side, f"lo_{side}", f"hi_{side}"])
+
+    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            a, b, n_a, n_b, x, y = (c.to_pylist() for c in part.columns)
+            kept = [s >= ALIKE - SHORT_BY * (max(n, m) > SKETCH) for s, n, m in zip(map(similarity, x, y, n_a, n_b), n_a, n_b, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(kept, pa.bool_())), part.column(1).filter(pa.array(kept, pa.bool_()))], names=["a", "b"])
+
+    return found.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(verify, "a long, b long").distinct()
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id over links between texts whose five-word shingles are alike by 0.8 or more.
+
+    Null and empty texts are alike; a null id has the component of its text.
+    """
+
+    def run(texts: pa.Array) -> Iterator[pa.Array]:
+        found = [wide_fingerprint(t) for t in texts.to_pylist()]
+        for i in range(3):
+            yield pa.array(np.array([f[i] for f in found], "u8").view("i8"))
+        yield pa.array([f[3] for f in found], pa.binary())
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
+    marked = materialize(with_columns(rows, ["__text"], {"lo": "long", "hi": "long", "n": "long", "sketch": "binary"}, run).select("doc_id", "lo", "hi", "n", "sketch"), "fingerprints")
+    prints = materialize(marked.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct")
+    component = connected_components(materialize(similar_links(prints, marked), "near"))
+    by_print = prints.join(component, prints["rep"] == component["node"], "left").select("lo", "hi", "n", F.coalesce("component", "rep").alias("component_id"))
+    return marked.drop("sketch").join(by_print, ["lo", "hi", "n"], "left").select("doc_id", "component_id")
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Keep, of every group of similar texts, the rows with the smallest id; rows without an id are kept."""
+    gone = similar_documents(df, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return df.join(gone, id_col, "left_anti")

@@ -46,7 +46,7 @@ BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 #: Input bytes (as stored) that go to one file.
 SHARD_BYTES = 8 * 2**20
 #: Words whose ids a worker remembers; a full cache is emptied.
-CACHE = 250_000
+CACHE = 600_000
 
 
 def key_of(doc_id: int | None) -> bytes:

@@ -21,19 +21,20 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.common import discard, fold, materialize, slices, with_columns
+from lodestone.llm.common import discard, fold, materialize, slices
 
 #: Characters per sequence; labelled documents used; discount; weight of the shared backoff in each class.
 ORDER, SAMPLE, DISCOUNT, PRIOR = 5, 20_000, 0.75, 5.0
 #: Words that a worker remembers at once.
-CACHE = 400_000
+CACHE = 300_000
 EDGE = ".,;:!?|*$%&#<>\"'()[]{}"
 #: Marks of a word's start and end: control characters, which words don't have at their edges.
 BEGIN, FINISH = "\x02" * (ORDER - 1), "\x03"
@@ -89,9 +90,9 @@ class KneserNey:
 
 
 class _Sequences(dict):
-    def __init__(self, seen: dict[str, float], other: dict[str, float]):
-        super().__init__(seen)
-        self.other = other
+    """Ratios of known sequences; ``other`` has those of unknown ones by their first characters."""
+
+    other: dict[str, float]
 
     def __missing__(self, s: str) -> float:
         return self.other.get(s[:-1], 0.0)
@@ -100,13 +101,13 @@ class _Sequences(dict):
 class _Words(dict):
     """Ratio and length of tokens, without punctuation at their edges; (0, 0) if nothing is left."""
 
-    def __init__(self, sequence_ratios: _Sequences):
+    def __init__(self, of_sequence: _Sequences):
         super().__init__()
-        self.sequence_ratios = sequence_ratios
+        self.of_sequence = of_sequence.__getitem__
 
     def __missing__(self, token: str) -> tuple[float, int]:
         word = token.strip(EDGE)
-        found = (sum(map(self.sequence_ratios.__getitem__, sequences(word))), len(word) + 1) if word else (0.0, 0)
+        found = (sum(map(self.of_sequence, sequences(word))), len(word) + 1) if word else (0.0, 0)
         if len(self) >= CACHE:
             self.clear()
         if len(token) <= 64:
@@ -115,19 +116,22 @@ class _Words(dict):
 
 
 class Ratios:
+    """Scores texts; ``words`` remembers tokens and lives as long as a task, the table as long as the broadcast."""
+
     def __init__(self, seen: dict[str, float], other: dict[str, float]):
-        self.seen, self.other = seen, other
-        self.words = _Words(_Sequences(seen, other))
+        self.table = _Sequences(seen)
+        self.table.other = other
+
+    def words(self) -> _Words:
+        return _Words(self.table)
 
-    def __reduce__(self):
-        return Ratios, (self.seen, self.other)
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """The ratio per character of the whole text, and the largest of its words."""
-        parts = [x for x in map(self.words.__getitem__, words_of(text)) if x[1]]
-        if not parts:
-            return 0.0, 0.0
-        return sum([r for r, _ in parts]) / sum([n for _, n in parts]), max([r / n for r, n in parts])
+def features(words: _Words, text: str | None) -> tuple[float, float]:
+    """The ratio per character of the whole text, and the largest of its words."""
+    parts = [x for x in map(words.__getitem__, words_of(text)) if x[1]]
+    if not parts:
+        return 0.0, 0.0
+    return sum([r for r, _ in parts]) / sum([n for _, n in parts]), max([r / n for r, n in parts])
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -150,12 +154,18 @@ class Model:
     def __init__(self, ratios: Ratios | None, curve: np.ndarray | None, prior: float):
         self.ratios, self.curve, self.prior = ratios, curve, prior
 
-    def score(self, text: str | None) -> float:
+    def scorer(self) -> Callable[[str | None], float]:
+        """A function from texts to scores, with a memory of its own."""
         if self.ratios is None:
-            return self.prior
-        whole, most = self.ratios.features(text)
-        z = self.curve[0] * whole + self.curve[1] * most + self.curve[2]
-        return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
+            return lambda text: self.prior
+        words = self.ratios.words()
+
+        def score(text: str | None) -> float:
+            whole, most = features(words, text)
+            z = self.curve[0] * whole + self.curve[1] * most + self.curve[2]
+            return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
+
+        return score
 
 
 def _sequence_counts(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -257,9 +267,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     halves = spark.sparkContext.broadcast((model((1,)), model((0,))))  # each half is scored by the other
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [half.words() for half in halves.value]
         for part in (x for whole in parts for x in slices(whole)):
             label, half, text = (c.to_pylist() for c in part.columns)
-            found = [halves.value[h].features(t) for h, t in zip(half, text, strict=True)]
+            found = [features(words[h], t) for h, t in zip(half, text, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found]), pa.array(label, pa.int32())], names=["whole", "most", "c"])
 
     seen = rows.mapInArrow(score, "whole double, most double, c int").toPandas()  # at most `sample` rows
@@ -270,12 +281,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def add_scores(df: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
     """Add each whole text's score from 0 to 1; null and empty texts are texts without words."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in df.columns if c != name]
+    fed = df.select(*kept, *([text_col] if text_col == name else []))
 
-    def run(texts: pa.Array) -> Iterator[pa.Array]:
-        score = shared.value.score
-        yield pa.array([score(t) for t in texts.to_pylist()], pa.float64())
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = shared.value.scorer()
+        for part in (x for whole in parts for x in slices(whole)):
+            scores = pa.array([score(t) for t in part.column(text_col).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), scores], names=[*kept, name])
 
-    return with_columns(df, [text_col], {name: "double"}, run)
+    return fed.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField(name, T.DoubleType())]))
 
 
 def reject_toxic(df: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:

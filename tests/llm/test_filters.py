@@ -91,7 +91,7 @@ def test_thresholds_sum_as_the_principle_asks(spark):
     n, both = simhash.together(df)
     bank = simhash.group_bits(n, both)
     assert sorted(b for g in bank for b in g) == list(range(64))
-    chosen = simhash.allocate(values, n, bank, simhash.histograms(df, bank, 2), 2)
+    chosen = simhash.allocate(values[:, None], n, bank, simhash.histograms(df, bank, 2), 2)
     assert (chosen.sum(axis=1) == 2 - len(bank) + 1).all() and chosen.min() >= -1
 
 
@@ -350,3 +350,38 @@ def test_pipeline(spark, small):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_dedup", "decontaminate", "sentencepiece"]
     rows = corpus_pipeline.run(spark, small).collect()
     assert 0 < len(rows) <= 200 and all(r["round_trip"] and r["ids"][-1] == 2 for r in rows)
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    k = min(5, len(words))
+    return {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+def test_similar_texts_are_grouped_and_others_are_not(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = {}
+    for base in range(40):
+        words = list(rng.choice(vocabulary, int(rng.integers(60, 700))))
+        texts[len(texts)] = " ".join(words)
+        for copy in range(30 if base == 0 else 2):
+            edited = list(words)
+            for _ in range(1 + copy % 4 if len(words) > 150 else 1):
+                edited[int(rng.integers(0, len(words)))] = "changed"
+            texts[len(texts)] = " ".join(edited)
+    texts |= {1000: None, 1001: "", 1002: "a b", 1003: "a b", 1004: texts[0]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("lo", F.lit("clash"))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    alike = {(a, b): len(sets[a] & sets[b]) / max(len(sets[a] | sets[b]), 1) for a in texts for b in texts if a < b}
+    near = groups([p for p, j in alike.items() if j >= 0.8])
+    missed = sum(found[a] != found[b] for (a, b), j in alike.items() if j >= 0.8)
+    assert missed <= 0.05 * sum(j >= 0.8 for j in alike.values())
+    assert all(found[a] != found[b] for (a, b), j in alike.items() if j < 0.3 and sets[a] and near.get(a) != near.get(b))
+    assert found[1001] == 1000 and found[1003] == 1002 and found[1004] == 0
+    kept = simhash.deduplicate(df)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(found.values())
+    assert simhash.similar_documents(df.limit(0)).count() == 0
+    whole, part = simhash.wide_fingerprint(texts[0]), simhash.wide_fingerprint(texts[1])
+    assert abs(simhash.similarity(whole[3], part[3], whole[2], part[2]) - alike[0, 1]) < 0.1

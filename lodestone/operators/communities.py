@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import idf
+from lodestone.session import shared_dir
 
 # Sweeps per level, and the gain below which two moves are equal.
 SWEEPS, EPSILON = 100, 1e-12
@@ -118,6 +119,7 @@ def spread(entities: DataFrame, weighted: DataFrame, rounds: int = 10) -> DataFr
 
     Half of the nodes move in a round, by a hash of id and round, so that neighbours don't swap labels for ever.
     """
+    shared_dir(weighted.sparkSession)
     both = weighted.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"), "weight").unionAll(weighted.select(F.col("dst_id").alias("a"), F.col("src_id").alias("b"), "weight"))
     labels = entities.select("entity_id", F.col("entity_id").alias("label"))
     for number in range(rounds):

@@ -8,11 +8,14 @@ chunks of their own with ``vec_id = doc_id``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import fts, indicators, text, vectors
 from lodestone.operators import clusters, communities, edges, entities, graph, insights, search
+from lodestone.session import shared_dir
 from lodestone.sources import ingest, normalize, sniff
 from lodestone.streaming import knowledge
 
@@ -416,10 +419,7 @@ def retry_backoff(spark, sf_dir):
 
 def stream_equivalence(spark, sf_dir):
     """Documents through the streaming stages, four files at a time; the tables that they make."""
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/lodestone"
-    path = f"{top}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.encode("text", "UTF-8").alias("raw"))
     docs.repartitionByRange(8, "item").write.parquet(f"{path}/in")
     items = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")

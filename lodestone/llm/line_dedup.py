@@ -2,15 +2,16 @@
 
 Every line goes down a tree of fixed depth: its number of words, then its first
 ``DEPTH`` words, where a word with a digit is a variable field.  In the leaf it
-joins the most similar template that agrees with it in at least ``ALIKE`` of all
-places; the places that differ become variable fields.  A template that lines of
+joins the most similar template, if the line that this one began with agrees in
+at least ``ALIKE`` of all places; the others are its variable fields.  A template that lines of
 two or more documents share recurs; its first line (smallest document id, then
 line number) stays and all others are dropped.
 
-Identical lines are counted together before any shuffle, leaves get one entry
-per distinct line, with two bytes per word, and a leaf of more than ``LEAF``
-distinct lines grows ``DEPTH`` more levels.  Leaves are read in order, a run of
-``LEAF`` lines at a time, so a task holds little whatever the leaf.
+Identical lines are counted together before any shuffle, and leaves get one entry
+per distinct line, with two bytes per word.  A leaf of more than ``LEAF`` distinct
+lines is dealt into parts by hash: each part finds its templates, and the parts'
+templates, far fewer, are then matched with one another.  Tasks read leaves in
+order, a run of ``LEAF`` lines at a time, and so hold little whatever the leaf.
 """
 
 from __future__ import annotations
@@ -97,28 +98,26 @@ def _lines(rows: DataFrame, places: bool) -> DataFrame:
 
 
 def cluster(lines: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
-    """Lines of one leaf, of one length, in order: each line's hash with that of its template's first line."""
+    """Lines of one leaf, of one length, in order: each line's hash with that of the line that its template began with."""
     out, heads = [], []
     width = len(lines[0][1]) // 2
-    templates = np.zeros((len(lines), width), np.uint16)
-    fixed = np.zeros((len(lines), width), bool)
+    begun = np.zeros((len(lines), width), np.uint16)
     for line, short in lines:
         places = np.frombuffer(short, "<u2")
         if heads:
-            equal = ((templates[: len(heads)] == places) & fixed[: len(heads)]).sum(axis=1)
+            equal = (begun[: len(heads)] == places).sum(axis=1)
             best = int(equal.argmax())
             if equal[best] >= ALIKE * width - 1e-9:
-                fixed[best] &= templates[best] == places
                 out.append((line, heads[best]))
                 continue
-        templates[len(heads)], fixed[len(heads)] = places, places != 0
+        begun[len(heads)] = places
         heads.append(line)
         out.append((line, line))
     return out
 
 
 def _clustered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by leaf: line, template."""
+    """Over rows (leaf, part, line, short) sorted by leaf and part: line, template."""
 
     def rows() -> Iterator[tuple]:
         for part in parts:
@@ -128,9 +127,9 @@ def _clustered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64())], names=["line", "template"])
 
     done: list[tuple[int, int]] = []
-    for _, leaf in groupby(rows(), key=lambda r: (r[0], len(r[2]))):
+    for _, leaf in groupby(rows(), key=lambda r: (r[0], r[1], len(r[3]))):
         run: list[tuple[int, bytes]] = []
-        for _, line, short in leaf:
+        for _, _, line, short in leaf:
             run.append((line, short))
             if len(run) == LEAF:
                 done += cluster(run)
@@ -143,16 +142,25 @@ def _clustered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit(done)
 
 
+def _in_leaves(rows: DataFrame) -> DataFrame:
+    """line, template, from rows with leaf, part, line, short."""
+    dealt = rows.select("leaf", "part", "line", "short").repartition("leaf", "part").sortWithinPartitions("leaf", "part", "short", "line")
+    return dealt.mapInArrow(_clustered, "line long, template long")
+
+
 def templates(rows: DataFrame) -> DataFrame:
     """line, template first line's place (doc_id, key, number) for every line whose template recurs."""
     place = F.struct("doc_id", "key", "number")
     lines = _lines(rows, places=True).groupBy("leaf", "line").agg(F.min(place).alias("first"), F.min("key").alias("low"), F.max("key").alias("high"), F.first("short").alias("short"))
     lines = materialize(lines, "lines")
     leaves = lines.where(F.length("short") > 0).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    deeper = F.when(F.col("n") > LEAF, F.xxhash64("leaf", F.expr(f"substring(short, 1, {4 * DEPTH})"))).otherwise(F.col("leaf"))
-    several = lines.select("leaf", "line", "short").where(F.length("short") > 0).join(leaves, "leaf").select(deeper.alias("leaf"), "line", "short")
-    grouped = several.repartition("leaf").sortWithinPartitions("leaf", "short", "line").mapInArrow(_clustered, "line long, template long")
-    varied = materialize(grouped, "templates").where("line <> template")
+    part = F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / LEAF)).cast("int")
+    several = lines.select("leaf", "line", "short").where(F.length("short") > 0).join(leaves, "leaf").withColumn("part", part)
+    within = materialize(_in_leaves(several), "templates")
+    heads = within.where("line = template").select("line").join(several.where(F.col("n") > LEAF), "line").withColumn("part", F.lit(0))
+    across = _in_leaves(heads).where("line <> template").select(F.col("line").alias("template"), F.col("template").alias("head"))
+    joined = within.join(across, "template", "left").select("line", F.coalesce("head", "template").alias("template"))
+    varied = materialize(joined.where("line <> template"), "varied")
     marked = lines.select("line", "first", "low", "high").join(varied, "line", "left").withColumn("template", F.coalesce("template", "line"))
     marked = materialize(marked, "marked")
     recurring = marked.groupBy("template").agg(F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("template", "first")

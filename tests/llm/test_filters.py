@@ -126,13 +126,12 @@ def brute_lines(docs):
     for (n, _), lines in leaves.items():
         bank = []
         for words in sorted(lines):
-            alike = [(sum(a == b for a, b in zip(t, words)), i) for i, (t, _) in enumerate(bank)]
+            alike = [(sum(a == b for a, b in zip(t, words)), -i) for i, (t, _) in enumerate(bank)]
             best = max((x for x in alike if x[0] >= 0.85 * n - 1e-9), default=None)
             if best:
-                t, seen = bank[best[1]]
-                bank[best[1]] = tuple(a if a == b else None for a, b in zip(t, words)), seen + lines[words]
+                bank[-best[1]][1].extend(lines[words])
             else:
-                bank.append((tuple(None if w == "<*>" else w for w in words), list(lines[words])))
+                bank.append((words, list(lines[words])))
         for _, seen in bank:
             if len({d for d, _ in seen}) > 1:
                 gone |= set(seen) - {min(seen)}
@@ -385,3 +384,16 @@ def test_similar_texts_are_grouped_and_others_are_not(spark):
     assert simhash.similar_documents(df.limit(0)).count() == 0
     whole, part = simhash.wide_fingerprint(texts[0]), simhash.wide_fingerprint(texts[1])
     assert abs(simhash.similarity(whole[3], part[3], whole[2], part[2]) - alike[0, 1]) < 0.1
+
+
+def test_large_leaves_are_dealt_and_matched_again(spark, monkeypatch):
+    words = [f"w{i:c}" for i in range(ord("a"), ord("z"))] * 2
+    rows = []
+    for i in range(40):
+        edited = list(words)
+        edited[8 + i] = "edited"
+        rows.append((i, " ".join(edited)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "LEAF", 7)
+    found = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate_lines(df).collect()}
+    assert found == {0: rows[0][1]} | {i: "" for i in range(1, 40)}

@@ -46,7 +46,7 @@ BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 #: Input bytes (as stored) that go to one file.
 SHARD_BYTES = 8 * 2**20
 #: Words whose ids a worker remembers; a full cache is emptied.
-CACHE = 600_000
+CACHE = 1_000_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -89,7 +89,7 @@ class WordEncoder:
     word-end suffix.
     """
 
-    MARKS = re.compile(rb"(?<=[a-z])([.,;:!?|*$%&#]+)(?=[ \t\n\v\f\r]|$)")
+    MARKS = re.compile(rb"[.,;:!?|*$%&#](?<=[a-z].)[.,;:!?|*$%&#]*(?=[ \t\n\v\f\r]|\Z)")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker per core
@@ -125,7 +125,7 @@ class WordEncoder:
 
     def _split(self, text: str | None) -> list[bytes]:
         raw = (text or "").encode()
-        return (raw if b"<|" in raw else self.MARKS.sub(rb" \1", raw.lower())).split()
+        return (raw if b"<|" in raw else self.MARKS.sub(rb" \g<0>", raw.lower())).split()
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         end = np.array([end_id], self.dtype).tobytes()

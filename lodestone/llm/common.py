@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -77,6 +78,14 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
+def give_back() -> None:
+    """Return freed memory to the system; Spark keeps Python workers, and what they hold, from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(part: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows of about ``most`` bytes, one row at least, so that Python holds little at once."""
     if part.num_rows:
@@ -101,5 +110,6 @@ def with_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], run:
             made = list(run(*[part.column(c) for c in inputs]))
             made = [m.cast(kinds[outputs[n]]) if outputs[n] in kinds else m for m, n in zip(made, outputs, strict=True)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names=names)
+        give_back()
 
     return fed.mapInArrow(batches, schema)

@@ -34,7 +34,7 @@ from lodestone.llm.common import with_columns
 
 MARK = "▁"
 #: Words, and pairs of pieces, that each worker remembers; a full cache is emptied.
-CACHE = 300_000
+CACHE = 200_000
 
 
 def _each_invalid_byte(error: UnicodeError) -> tuple[str, int]:
@@ -226,6 +226,19 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def _encoded(enc: Encoder, texts: pa.Array, eos: bool) -> pa.ListArray:
+    end = np.array([enc.eos] * eos, "<i4").tobytes()
+    parts = [enc.encode_bytes(t or "") + end for t in texts.to_pylist()]
+    offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+
+
+def _decoded(enc: Encoder, ids: pa.ListArray) -> pa.Array:
+    values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+    lists = (values[a : b - (b > a and values[b - 1] == enc.eos)].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True))  # the end id is nothing
+    return pa.array([enc.decode(x) for x in lists], pa.string())
+
+
 def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", eos: bool = True) -> DataFrame:
     """Add the ids of each whole text; a null text is an empty one, which has the end id alone.
 
@@ -233,11 +246,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str
     """
 
     def run(texts: pa.Array) -> Iterator[pa.Array]:
-        enc = encoder(model_path)
-        end = np.array([enc.eos] * eos, "<i4").tobytes()
-        parts = [enc.encode_bytes(t or "") + end for t in texts.to_pylist()]
-        offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype("int32")
-        yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+        yield _encoded(encoder(model_path), texts, eos)
 
     return with_columns(df, [text_col], {ids_col: "array<int>"}, run)
 
@@ -246,9 +255,18 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
     """Add the text that each id list stands for; a null list is an empty one."""
 
     def run(ids: pa.Array) -> Iterator[pa.Array]:
-        enc = encoder(model_path)
-        values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-        lists = (values[a : b - (b > a and values[b - 1] == enc.eos)].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True))  # the end id is nothing
-        yield pa.array([enc.decode(x) for x in lists], pa.string())
+        yield _decoded(encoder(model_path), ids)
 
     return with_columns(df, [ids_col], {text_col: "string"}, run)
+
+
+def round_trip(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", eos: bool = True) -> DataFrame:
+    """Add the ids and the text that they stand for, in one pass and one worker."""
+
+    def run(texts: pa.Array) -> Iterator[pa.Array]:
+        enc = encoder(model_path)
+        ids = _encoded(enc, texts, eos)
+        yield ids
+        yield _decoded(enc, ids)
+
+    return with_columns(df, [text_col], {ids_col: "array<int>", decoded_col: "string"}, run)

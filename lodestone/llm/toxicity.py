@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import discard, fold, materialize, slices
+from lodestone.llm.common import discard, fold, give_back, materialize, slices
 
 #: Characters per sequence; labelled documents used; discount; weight of the shared backoff in each class.
 ORDER, SAMPLE, DISCOUNT, PRIOR = 5, 20_000, 0.75, 5.0
 #: Words that a worker remembers at once.
-CACHE = 300_000
+CACHE = 150_000
 EDGE = ".,;:!?|*$%&#<>\"'()[]{}"
 #: Marks of a word's start and end: control characters, which words don't have at their edges.
 BEGIN, FINISH = "\x02" * (ORDER - 1), "\x03"
@@ -217,6 +217,9 @@ def _all_sequences(docs: DataFrame) -> DataFrame:
                 yield full()
                 found.clear()
         yield full()
+        seen.clear()
+        found.clear()
+        give_back()
 
     return docs.select("text").mapInArrow(find, "s string").distinct()
 
@@ -289,6 +292,8 @@ def add_scores(df: DataFrame, model: Model, text_col: str = "text", name: str =
         for part in (x for whole in parts for x in slices(whole)):
             scores = pa.array([score(t) for t in part.column(text_col).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), scores], names=[*kept, name])
+        del score
+        give_back()
 
     return fed.mapInArrow(run, T.StructType([*(df.schema[c] for c in kept), T.StructField(name, T.DoubleType())]))
 

@@ -34,7 +34,7 @@ from lodestone.llm.common import discard, fold, give_back, materialize, slices
 #: Characters per sequence; labelled documents used; discount; weight of the shared backoff in each class.
 ORDER, SAMPLE, DISCOUNT, PRIOR = 5, 20_000, 0.75, 5.0
 #: Words that a worker remembers at once.
-CACHE = 150_000
+CACHE = 300_000
 EDGE = ".,;:!?|*$%&#<>\"'()[]{}"
 #: Marks of a word's start and end: control characters, which words don't have at their edges.
 BEGIN, FINISH = "\x02" * (ORDER - 1), "\x03"

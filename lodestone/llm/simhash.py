@@ -21,8 +21,10 @@ only if they share a midpoint within one bit of both, and a midpoint has at most
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import combinations
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bits_between, materialize, slices, with_columns
+from lodestone.llm.common import bits_between, give_back, materialize, slices, with_columns
 from lodestone.llm.components import connected_components
 
 BITS = 64
@@ -270,13 +272,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 # similar texts
 
-#: Words in a shingle, bits that candidates may differ in (19.4 of 128 on average at a similarity of 0.8), and in the first half of them.
-SHINGLE, APART, APART_HALF = 5, 30, 18
-#: Similarity of a link; hashes of a text's sketch, which is the whole text up to so many shingles; what an estimate from sketches may fall short by (its standard error is 0.025).
-ALIKE, SKETCH, SHORT_BY = 0.8, 256, 0.04
-#: Rows of one key that each row is compared with, by id; beyond them, with the key's first.
-NEAREST = 16
-WIDE = ("lo", "hi")
+#: Words in a shingle; least hashes of them in a sketch.
+SHINGLE, SKETCH = 5, 256
+#: First size of each class of sets; a class ends at 1.25 times that, so sets alike by 0.8 are in one class or in neighbours.
+STARTS = [1]
+while STARTS[-1] < 2**40:
+    STARTS.append(STARTS[-1] * 5 // 4 + 1)
+GOLDEN = 0x9E3779B97F4A7C15
 
 
 def wide_fingerprint(text: str | None, shingle: int = SHINGLE) -> tuple[int, int, int, bytes]:
@@ -305,77 +307,157 @@ def similarity(a: bytes, b: bytes, n_a: int, n_b: int) -> float:
     return float(np.searchsorted(np.intersect1d(x, y, assume_unique=True), union[-1], "right") / len(union))
 
 
-def similar_links(prints: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links (a, b: reps) among distinct wide fingerprints (lo, hi, n, rep) of texts that are alike; ``sketches`` has doc_id, lo, hi, sketch.
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles, in order; fewer words are one shingle, no words none."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, "u8")
+    k, digest = min(SHINGLE, len(words)), xxhash.xxh3_64_intdigest
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate(([0], ends[:-1]))[: len(words) - k + 1].tolist()
+    stops = (ends[k - 1 :] - 1).tolist()
+    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, stops, strict=True)], "u8"))
+
+
+def _digest(found: np.ndarray) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(found.tobytes())) if len(found) else 0
+
+
+def _signed(n: int) -> int:
+    return n - 2**64 if n >= 2**63 else n
+
+
+def size_class(n: int) -> int:
+    return bisect_right(STARTS, n) - 1
+
+
+def _part(found: np.ndarray, of: int, level: int) -> np.ndarray:
+    """The part of each hash; parts are ranges of hashes, for class ``of`` somewhat more than 2/9 of its largest size, doubled ``level`` times."""
+    top = STARTS[of] * 5 // 4
+    parts = 2 * top // 9 + 1 + isqrt(top) << level
+    if parts >= 2**32:
+        raise ValueError("hashes too alike to be told apart by parts")
+    return (found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 
-    Every fingerprint takes its keys within a bit of its own in all groups but
-    the one that would cost most, so two of them meet if some group has them
-    within two bits: certain up to 3 m - 3 bits apart in m groups, and likely
-    beyond.  Groups get narrower as there are fewer texts, to hold a few per key.
-    What meets is verified by its bits and number of shingles, then by its shingles.
-    """
-    n, both = together(prints, WIDE)
-    width = max(n, 2).bit_length() + 3
-    groups = group_bits(n, both, max(2, 2 * BITS // width))
-    shares, total = histograms(prints, groups, 1, WIDE), 2 * len(groups) - 1
-    masks = [[np.uint64(0), *(np.uint64(1 << i) for i in range(len(g)))] for g in groups]
 
-    def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def level_of(found: np.ndarray) -> int:
+    """The least level at which more than 2/9 as many parts as hashes have any."""
+    level, of = 0, size_class(len(found))
+    while 9 * (1 + np.count_nonzero(np.diff(_part(found, of, level)))) <= 2 * len(found):
+        level += 1
+    return level
+
+
+def part_keys(found: np.ndarray, of: int, level: int) -> np.ndarray:
+    """A hash of the hashes in each part that has any."""
+    part = _part(found, of, level)
+    return np.add.reduceat(found, np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))) + np.uint64(of * GOLDEN % 2**64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets in order have 0.8 of their union in common."""
+    common = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+    return 9 * common >= 4 * (len(a) + len(b))
+
+
+def _keyed(texts: DataFrame, levels: dict[int, int]) -> DataFrame:
+    """Rows (k, digest, n): the keys of every set in its own class and, as the smaller one of a pair, in the next."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of one task: copies give their keys once
         for part in (x for whole in parts for x in slices(whole)):
-            words, rep = _words(part, WIDE), part.column("rep").to_numpy()
-            radius = allocate(words, n, groups, shares, 1, total)
-            for g, group in enumerate(groups):
-                own = _project(words, group) | np.uint64(g) << np.uint64(56)
-                for t, flips in ((0, masks[g][:1]), (1, masks[g])):
-                    at = np.flatnonzero(radius[:, g] == t)
-                    for mask in flips if len(at) else ():
-                        yield pa.RecordBatch.from_arrays([pa.array((own[at] ^ mask).view("i8")), pa.array(rep[at]), pa.array(words[at, 0].view("i8"))], names=["k", "rep", "lo"])
-
-    def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over rows sorted by key and id; the last rows of a batch are seen again with the next."""
-        held = np.zeros((0, 3), np.int64)
-        for part in parts:
-            rows = np.concatenate([held, np.column_stack([c.to_numpy() for c in part.columns])])
-            key, rep, lo = (np.ascontiguousarray(rows[:, i]) for i in range(3))
-            lo = lo.view("u8")
-            found = []
-            fresh = np.arange(max(0, len(held) - NEAREST), len(rows))
-            for lag in range(1, NEAREST + 1):
-                fresh = fresh[fresh + lag < len(rows)]
-                fresh = fresh[key[fresh] == key[fresh + lag]]
-                if not len(fresh):
-                    break
-                pair = fresh[(fresh + lag >= len(held)) & (np.bitwise_count(lo[fresh] ^ lo[fresh + lag]) <= APART_HALF)]
-                found.append(np.column_stack([rep[pair], rep[pair + lag]]))
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(rows) else np.zeros(0, int)
-            first = np.repeat(starts, np.diff(np.append(starts, len(rows))))
-            far = np.flatnonzero(np.arange(len(rows)) - first > NEAREST)
-            far = far[(far >= len(held)) & (np.bitwise_count(lo[far] ^ lo[first[far]]) <= APART_HALF)]
-            found.append(np.column_stack([rep[first[far]], rep[far]]))
-            pairs = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
-            open_at = starts[-1] if len(starts) else 0  # the key's first row stays, and the nearest ones
-            tail = rows[max(open_at, len(rows) - NEAREST) :]
-            held = np.concatenate([rows[open_at : open_at + 1], tail]) if len(rows) and len(rows) - open_at > NEAREST else tail
-
-    rows = prints.select(*WIDE, "rep").mapInArrow(keys, "k long, rep long, lo long")
-    near = materialize(rows.repartition("k").sortWithinPartitions("k", "rep").mapInArrow(meet, "a long, b long").where("a <> b").distinct(), "candidates")
-    x = prints.select(F.col("rep").alias("a"), *(F.col(c).alias(f"{c}_a") for c in (*WIDE, "n")))
-    y = prints.select(F.col("rep").alias("b"), *(F.col(c).alias(f"{c}_b") for c in (*WIDE, "n")))
-    apart = bits_between(F.col("lo_a"), F.col("lo_b")) + bits_between(F.col("hi_a"), F.col("hi_b"))
-    alike = (apart <= APART) & (F.least("n_a", "n_b") >= ALIKE * F.greatest("n_a", "n_b"))
-    found = near.join(x, "a").join(y, "b").where(alike)
+            keys, digests, sizes = [], [], []
+            for text in part.column(0).to_pylist():
+                found = shingles(text)
+                digest = _digest(found)
+                if not len(found) or digest in seen:
+                    continue
+                seen.add(digest)
+                own = size_class(len(found))
+                for of in (own, own + 1):
+                    if of in levels:
+                        keys.append(part_keys(found, of, levels[of]))
+                        digests.append(np.full(len(keys[-1]), digest, np.int64))
+                        sizes.append(np.full(len(keys[-1]), len(found), np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("i8")), pa.array(np.concatenate(digests)), pa.array(np.concatenate(sizes))], names=["k", "digest", "n"])
+        give_back()
+
+    return texts.select("text").mapInArrow(run, "k long, digest long, n int")
+
+
+def _shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (k, digest, n) sorted by key and digest: every set that shares a key with a lesser one, with the key's first."""
+    held = np.zeros((0, 3), np.int64)  # the first row of the last key, and its last
+    for part in parts:
+        rows = np.concatenate([held, np.column_stack([c.to_numpy().astype(np.int64) for c in part.columns])])
+        if not len(rows):
+            continue
+        key, digest = rows[:, 0], rows[:, 1]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        start = np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))
+        other = np.flatnonzero(~fresh & (digest != np.concatenate([digest[:1], digest[:-1]])))
+        other = other[other >= len(held)]
+        first = start[other]
+        columns = [key[other], digest[first], rows[first, 2], digest[other], rows[other, 2]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "a", "n_a", "b", "n_b"])
+        held = rows[sorted({int(start[-1]), len(rows) - 1})]
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b: digests) that are alike, by all their shingles."""
+
+    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for whole in parts for x in slices(whole)):
+            found = [shingles(t) for t in part.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["digest", "shingles"])
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for whole in parts for x in slices(whole)):
+            x, y = (part.column(i).to_pylist() for i in (2, 3))
+            kept = pa.array([alike(np.frombuffer(v, "u8"), np.frombuffer(w, "u8")) for v, w in zip(x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(kept), part.column(1).filter(kept)], names=["a", "b"])
+
+    wanted = pairs.select(F.col("a").alias("digest")).unionAll(pairs.select("b")).distinct()
+    ids = prints.join(wanted, "digest").select(F.col("rep").alias("id")).distinct()
+    whole = texts.join(ids, "id", "left_semi").select("text").mapInArrow(sets, "digest long, shingles binary")
+    whole = materialize(whole.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
     for side in "ab":
-        named = sketches.select(F.col("doc_id").alias(side), F.col("lo").alias(f"lo_{side}"), F.col("hi").alias(f"hi_{side}"), F.col("sketch").alias(f"sketch_{side}"))
-        found = found.join(named, [side, f"lo_{side}", f"hi_{side}"])
+        pairs = pairs.join(whole.select(F.col("digest").alias(side), F.col("shingles").alias(f"shingles_{side}")), side)
+    return materialize(pairs.select("a", "b", "shingles_a", "shingles_b").mapInArrow(compare, "a long, b long"), "near")
 
-    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            a, b, n_a, n_b, x, y = (c.to_pylist() for c in part.columns)
-            kept = [s >= ALIKE - SHORT_BY * (max(n, m) > SKETCH) for s, n, m in zip(map(similarity, x, y, n_a, n_b), n_a, n_b, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(kept, pa.bool_())), part.column(1).filter(pa.array(kept, pa.bool_()))], names=["a", "b"])
 
-    return found.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(verify, "a long, b long").distinct()
+def similar_links(texts: DataFrame, prints: DataFrame, levels: dict[int, int]) -> DataFrame:
+    """Links (a, b: digests) between sets of shingles alike by 0.8, enough of them to connect all that are connected.
+
+    Sets of a and b shingles are alike if and only if at most (a + b) / 9 are in
+    one of them only.  The hashes are cut into parts, by the larger set's class,
+    so that it has shingles in more parts than that: some part then has the same
+    shingles, one at least, in both, and they share its key.  First every set is
+    compared with the first of each of its keys.  Sets of a key that this did
+    not connect, which in a group of near copies are few, are compared two by two.
+    """
+    rows = _keyed(texts.where("id is not null"), levels)
+    shared = rows.repartition("k").sortWithinPartitions("k", "digest").mapInArrow(_shared, "k long, a long, n_a long, b long, n_b long")
+    shared = materialize(shared, "shared-keys")
+    possible = 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")
+    stars = materialize(shared.where(possible).select("a", "b").distinct(), "stars")
+    found = _verified(stars, texts, prints)
+    component = materialize(connected_components(found), "star-components")
+
+    crowded = shared.groupBy("k").agg(F.count(F.lit(1)).alias("others")).where("others > 1").select("k")
+    members = shared.join(crowded, "k")
+    members = members.select("k", F.col("b").alias("d"), F.col("n_b").alias("n")).unionAll(members.select("k", "a", "n_a").distinct())
+    members = members.join(component, F.col("d") == F.col("node"), "left").select("k", "d", "n", F.coalesce("component", "d").alias("c"))
+    members = materialize(members, "members")
+    open_keys = members.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
+    members = materialize(members.join(open_keys, "k"), "open")
+    x = members.select("k", F.col("d").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
+    y = members.select("k", F.col("d").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
+    rest = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & possible).select("a", "b").distinct()
+    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    return found.unionAll(_verified(rest, texts, prints)) if rest.limit(1).count() else found
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -385,17 +467,22 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
 
     def run(texts: pa.Array) -> Iterator[pa.Array]:
-        found = [wide_fingerprint(t) for t in texts.to_pylist()]
-        for i in range(3):
-            yield pa.array(np.array([f[i] for f in found], "u8").view("i8"))
-        yield pa.array([f[3] for f in found], pa.binary())
-
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
-    marked = materialize(with_columns(rows, ["__text"], {"lo": "long", "hi": "long", "n": "long", "sketch": "binary"}, run).select("doc_id", "lo", "hi", "n", "sketch"), "fingerprints")
-    prints = materialize(marked.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct")
-    component = connected_components(materialize(similar_links(prints, marked), "near"))
-    by_print = prints.join(component, prints["rep"] == component["node"], "left").select("lo", "hi", "n", F.coalesce("component", "rep").alias("component_id"))
-    return marked.drop("sketch").join(by_print, ["lo", "hi", "n"], "left").select("doc_id", "component_id")
+        found = [shingles(t) for t in texts.to_pylist()]
+        yield pa.array([_digest(f) for f in found], pa.int64())
+        yield pa.array([size_class(len(f)) for f in found], pa.int32())
+        yield pa.array([level_of(f) if len(f) else 0 for f in found], pa.int32())
+
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marked = with_columns(texts, ["text"], {"digest": "long", "size_class": "int", "level": "int"}, run).select("id", "digest", "size_class", "level")
+    marked = materialize(marked, "digests")
+    levels = {r[0]: r[1] for r in marked.where("size_class >= 0").groupBy("size_class").agg(F.max("level")).collect()}  # some hundred classes at most
+    prints = materialize(marked.groupBy("digest").agg(F.min("id").alias("rep")).where("rep is not null"), "distinct")
+    component = connected_components(similar_links(texts, prints, levels))
+    named = prints.join(component, prints["digest"] == component["node"], "left").select("digest", "rep", F.coalesce("component", "digest").alias("root"))
+    named = materialize(named, "named")
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    by_print = named.join(least, "root").select("digest", "component_id")
+    return marked.join(by_print, "digest", "left").select(F.col("id").alias("doc_id"), "component_id")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

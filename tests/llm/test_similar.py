@@ -50,3 +50,17 @@ def test_pairs_at_the_bound_are_found_whatever_the_number_of_texts(spark, fill):
     more = {10**6 + i: " ".join(f"v{x}" for x in rng.integers(0, 10**6, 20)) for i in range(fill)}
     found = components(spark, texts | more)
     assert {i: found[i] for i in texts} == want and all(found[i] == i for i in more)
+
+
+def test_crowded_keys_lose_no_pair(spark):
+    rng = np.random.default_rng(12)
+    shared = [f"s{i}" for i in range(150)]
+    ids = rng.permutation(300).tolist()
+    texts = {}
+    for _ in range(150):  # a hot source: alike by 0.75, and among them pairs alike by 0.81, their ids far apart
+        words = shared + [f"u{x}" for x in rng.integers(0, 10**6, 25)]
+        texts[ids.pop()] = " ".join(words)
+        texts[ids.pop()] = " ".join([*words[:-18], *(f"x{x}" for x in rng.integers(0, 10**6, 18))])
+    want = brute(texts)
+    assert len(set(want.values())) == 150
+    assert components(spark, texts) == want

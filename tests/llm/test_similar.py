@@ -64,3 +64,13 @@ def test_crowded_keys_lose_no_pair(spark):
     want = brute(texts)
     assert len(set(want.values())) == 150
     assert components(spark, texts) == want
+
+
+def test_long_texts_below_the_bound_stay_apart(spark):
+    rng = np.random.default_rng(13)
+    texts = {}
+    for _ in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 900)]
+        texts[len(texts)] = " ".join(words)
+        texts[len(texts)] = " ".join([*words[:-115], *(f"x{x}" for x in rng.integers(0, 10**6, 115))])  # 0.77
+    assert components(spark, texts) == brute(texts) == {i: i for i in texts}

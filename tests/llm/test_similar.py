@@ -74,3 +74,12 @@ def test_long_texts_below_the_bound_stay_apart(spark):
         texts[len(texts)] = " ".join(words)
         texts[len(texts)] = " ".join([*words[:-115], *(f"x{x}" for x in rng.integers(0, 10**6, 115))])  # 0.77
     assert components(spark, texts) == brute(texts) == {i: i for i in texts}
+
+
+def test_short_texts_and_boundaries():
+    nine = "a b c d e f g h i"
+    assert simhash.alike(simhash.shingles(nine[:-2]), simhash.shingles(nine))
+    assert not simhash.alike(simhash.shingles("a b c d e f g"), simhash.shingles("a b c d e f g h"))
+    for n in range(1, 3000):
+        largest = n * 5 // 4
+        assert simhash.size_class(largest) - simhash.size_class(n) <= 1

@@ -8,10 +8,11 @@ two or more documents share recurs; its first line (smallest document id, then
 line number) stays and all others are dropped.
 
 Identical lines are counted together before any shuffle, and leaves get one entry
-per distinct line, with two bytes per word.  A leaf of more than ``LEAF`` distinct
-lines is dealt into parts by hash: each part finds its templates, and the parts'
-templates, far fewer, are then matched with one another.  Tasks read leaves in
-order, a run of ``LEAF`` lines at a time, and so hold little whatever the leaf.
+per distinct line, with two bytes per word.  The places of a line are cut into one
+band more than may differ in a template, so lines that agree share a band.  By the
+bands a line finds its template among any number, and a leaf of more than ``LEAF``
+distinct lines is dealt into the parts that shared bands connect, which have no
+template in common: results are those of the leaf as a whole.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize, slices
+from lodestone.llm.components import connected_components
 
-#: Leading words that the tree compares; share of equal places in a template; words that a line needs; lines of a leaf at once.
+#: Leading words that the tree compares; share of equal places in a template; words that a line needs; lines of a leaf, and templates, from which bands are used.
 DEPTH, ALIKE, LEAST_WORDS, LEAF = 4, 0.85, 4, 512
 #: Words that a worker remembers.
 CACHE = 150_000
@@ -97,23 +99,38 @@ def _lines(rows: DataFrame, places: bool) -> DataFrame:
     return rows.select("doc_id", "key", "text").mapInArrow(run, schema)
 
 
-def cluster(lines: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
+def bands(short: bytes) -> list[bytes]:
+    """The places beyond the tree's in one run more than places that may differ, each with its number."""
+    width = len(short) // 2
+    n = int((1 - ALIKE) * width + 1e-9) + 1
+    ends = [2 * (DEPTH + (width - DEPTH) * i // n) for i in range(n + 1)]
+    return [bytes((i % 256, i // 256)) + short[ends[i] : ends[i + 1]] for i in range(n)]
+
+
+def cluster(lines: Iterable[tuple[int, bytes]]) -> Iterator[tuple[int, int]]:
     """Lines of one leaf, of one length, in order: each line's hash with that of the line that its template began with."""
-    out, heads = [], []
-    width = len(lines[0][1]) // 2
-    begun = np.zeros((len(lines), width), np.uint16)
+    heads: list[int] = []
+    index: dict[bytes, list[int]] = {}  # by band, once there are more than LEAF templates
+    begun = np.zeros((0, 0), np.uint16)
     for line, short in lines:
         places = np.frombuffer(short, "<u2")
-        if heads:
-            equal = (begun[: len(heads)] == places).sum(axis=1)
+        near = slice(len(heads)) if len(heads) <= LEAF else sorted({i for b in bands(short) for i in index.get(b, ())})
+        against = begun[near]
+        if len(against):
+            equal = (against == places).sum(axis=1)
             best = int(equal.argmax())
-            if equal[best] >= ALIKE * width - 1e-9:
-                out.append((line, heads[best]))
+            if equal[best] >= ALIKE * len(places) - 1e-9:
+                yield line, heads[best if len(heads) <= LEAF else near[best]]
                 continue
+        if len(heads) == len(begun):
+            begun = np.concatenate([begun.reshape(-1, len(places)), np.zeros((max(16, len(begun)), len(places)), np.uint16)])
         begun[len(heads)] = places
         heads.append(line)
-        out.append((line, line))
-    return out
+        if len(heads) > LEAF:
+            for i in range(len(heads) - 1 if index else 0, len(heads)):
+                for b in bands(begun[i].tobytes()):
+                    index.setdefault(b, []).append(i)
+        yield line, line
 
 
 def _clustered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,20 +145,30 @@ def _clustered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     done: list[tuple[int, int]] = []
     for _, leaf in groupby(rows(), key=lambda r: (r[0], r[1], len(r[3]))):
-        run: list[tuple[int, bytes]] = []
-        for _, _, line, short in leaf:
-            run.append((line, short))
-            if len(run) == LEAF:
-                done += cluster(run)
-                run = []
-        if run:
-            done += cluster(run)
-        if len(done) >= 10_000:
-            yield emit(done)
-            done = []
+        for pair in cluster((line, short) for _, _, line, short in leaf):
+            done.append(pair)
+            if len(done) >= 10_000:
+                yield emit(done)
+                done = []
     yield emit(done)
 
 
+def _banded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (leaf, line, short): line and a hash of leaf and band, for every band."""
+    for part in (x for whole in parts for x in slices(whole)):
+        found = [(line, _signed(band, leaf % 2**64)) for leaf, line, short in zip(*(c.to_pylist() for c in part.columns), strict=True) for band in bands(short)]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["line", "band"])
+
+
+def _parts(large: DataFrame) -> DataFrame:
+    """leaf, part, line, short: the lines that share bands, directly or through others, are a part; lines that share none are left out."""
+    banded = materialize(large.select("leaf", "line", "short").mapInArrow(_banded, "line long, band long"), "bands")
+    least = banded.groupBy("band").agg(F.min("line").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "least")
+    stars = banded.join(least, "band").where("line <> least").select("line", "least").distinct()
+    component = connected_components(stars, "line", "least")
+    return large.join(component, large["line"] == component["node"]).select("leaf", F.col("component").alias("part"), "line", "short")
+
+
 def _in_leaves(rows: DataFrame) -> DataFrame:
     """line, template, from rows with leaf, part, line, short."""
     dealt = rows.select("leaf", "part", "line", "short").repartition("leaf", "part").sortWithinPartitions("leaf", "part", "short", "line")
@@ -154,12 +181,11 @@ def templates(rows: DataFrame) -> DataFrame:
     lines = _lines(rows, places=True).groupBy("leaf", "line").agg(F.min(place).alias("first"), F.min("key").alias("low"), F.max("key").alias("high"), F.first("short").alias("short"))
     lines = materialize(lines, "lines")
     leaves = lines.where(F.length("short") > 0).groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    part = F.pmod(F.xxhash64("line"), F.ceil(F.col("n") / LEAF)).cast("int")
-    several = lines.select("leaf", "line", "short").where(F.length("short") > 0).join(leaves, "leaf").withColumn("part", part)
-    within = materialize(_in_leaves(several), "templates")
-    heads = within.where("line = template").select("line").join(several.where(F.col("n") > LEAF), "line").withColumn("part", F.lit(0))
-    across = _in_leaves(heads).where("line <> template").select(F.col("line").alias("template"), F.col("template").alias("head"))
-    joined = within.join(across, "template", "left").select("line", F.coalesce("head", "template").alias("template"))
+    several = lines.select("leaf", "line", "short").where(F.length("short") > 0).join(leaves, "leaf")
+    dealt = several.where(F.col("n") <= LEAF).select("leaf", F.lit(0).cast("long").alias("part"), "line", "short")
+    if leaves.where(F.col("n") > LEAF).limit(1).count():
+        dealt = dealt.unionAll(_parts(several.where(F.col("n") > LEAF)))
+    joined = _in_leaves(dealt)
     varied = materialize(joined.where("line <> template"), "varied")
     marked = lines.select("line", "first", "low", "high").join(varied, "line", "left").withColumn("template", F.coalesce("template", "line"))
     marked = materialize(marked, "marked")

@@ -7,7 +7,8 @@ hashed and joined with the benchmark's.  A match is an alignment of a document
 with an item; it counts only if its placeholders agree one to one (each value of
 the item stands for the same value of the document throughout), so that the same
 question with other numbers and names is found, and an accidental likeness of
-shapes is not.  A document leaks an item if the windows of its consistent
+shapes is not.  An item of which every window is mostly placeholders is told by
+its words, values included.  A document leaks an item if the windows of its consistent
 alignments reach ``needed`` of the item's.
 """
 
@@ -70,23 +71,34 @@ def _hashes(template: str) -> Column:
     return F.transform(_split(template), lambda w: F.xxhash64(w))
 
 
+def _plain_hashes() -> Column:
+    """Of the words without marks, as a name's depends on the word before it."""
+    return F.transform(_split("words"), lambda w: F.xxhash64(F.translate(w, NUMBER + UNIT + NAME, "")))
+
+
 def _values(words: Column, at: Column, size: Column) -> Column:
     """The values of the placeholders in a window."""
     return F.filter(F.slice(words, at + 1, size), lambda w: w.rlike(f"^{MARKS}"))
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, size, needed, hash, at, values: the windows that can tell an item; items shorter than a window are one window.
+    """item, size, needed, exact, hash, at, values: the windows that can tell an item; items shorter than a window are one window.
 
-    Items alike in words and values are one, under their smallest id; items
+    Where none can by its template, all of them do by their words (``exact``),
+    and have no values to compare.  Items alike in words and values are one, under their smallest id; items
     without enough words are none.
     """
     texts = templates(benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text"))).groupBy("words", "template").agg(F.min("item").alias("item"))
-    items = texts.select("item", _split("words").alias("words"), _hashes("template").alias("hashes")).where(F.size("words") >= LEAST_WORDS).withColumn("size", F.least(F.lit(WINDOW), F.size("words")))
-    sizes = range(LEAST_WORDS, WINDOW + 1)
-    windows = F.coalesce(*[F.when(F.col("size") == k, _windows(F.col("hashes"), k)) for k in sizes])
-    rows = items.withColumn("w", F.explode(windows)).select("item", "size", "w.hash", "w.at", _values(F.col("words"), F.col("w.at"), F.col("size")).alias("values"))
-    telling = rows.where(F.size("values") <= F.least(F.lit(MOST_SLOTS), F.floor(F.col("size") / 2)))
+    items = texts.select("item", _split("words").alias("words"), _hashes("template").alias("hashes"), _plain_hashes().alias("exact_hashes"))
+    items = items.where(F.size("words") >= LEAST_WORDS).withColumn("size", F.least(F.lit(WINDOW), F.size("words")))
+
+    def windows(hashes: str) -> DataFrame:
+        each = F.coalesce(*[F.when(F.col("size") == k, _windows(F.col(hashes), k)) for k in range(LEAST_WORDS, WINDOW + 1)])
+        return items.withColumn("w", F.explode(each)).select("item", "size", "w.hash", "w.at", _values(F.col("words"), F.col("w.at"), F.col("size")).alias("values"))
+
+    telling = windows("hashes").where(F.size("values") <= F.least(F.lit(MOST_SLOTS), F.floor(F.col("size") / 2))).withColumn("exact", F.lit(False))
+    exact = windows("exact_hashes").join(telling.select("item").distinct(), "item", "left_anti").withColumn("values", F.array().cast("array<string>")).withColumn("exact", F.lit(True))
+    telling = telling.unionByName(exact)
     counts = telling.groupBy("item").agg(F.least(F.lit(ENOUGH), F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * SHARE))).cast("int").alias("needed"))
     return telling.join(counts, "item")
 
@@ -98,16 +110,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     few windows that the benchmark has, and the texts that have any.
     """
     items = materialize(benchmark_windows(benchmark), "benchmark-windows")
-    hashes = items.select("hash", "size").distinct()
+    hashes = items.select("hash").distinct()
     n = hashes.count()
-    sizes = sorted(r[0] for r in hashes.select("size").distinct().collect())  # WINDOW - LEAST_WORDS + 1 at most
+    sizes = sorted((r[0], r[1]) for r in items.select("size", "exact").distinct().collect())  # 2 (WINDOW - LEAST_WORDS + 1) at most
     texts = docs.select(F.xxhash64("text").alias("key"), "text")
-    prepared = templates(texts).select("key", _hashes("template").alias("hashes"))
-    every = F.concat(*[_windows(F.col("hashes"), k) for k in sizes]) if sizes else F.array().cast("array<struct<hash:bigint,at:int>>")
+    exact = [_plain_hashes().alias("exact_hashes")] if any(e for _, e in sizes) else []
+    prepared = templates(texts).select("key", _hashes("template").alias("hashes"), *exact)
+    every = F.concat(*[_windows(F.col("exact_hashes" if e else "hashes"), k) for k, e in sizes]) if sizes else F.array().cast("array<struct<hash:bigint,at:int>>")
     # not explode(): Spark would filter by the array's size first and, doing so, work the hashes out again for every window
     windows = prepared.select("key", F.explode_outer(every).alias("w")).select("key", "w.hash", "w.at")
-    wanted = hashes.select("hash")
-    met = materialize(windows.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "hash", "left_semi").distinct(), "met-windows")
+    met = materialize(windows.join(F.broadcast(hashes) if n <= BROADCAST_ROWS else hashes, "hash", "left_semi").distinct(), "met-windows")
     # candidates with too few windows for any alignment go before texts are read again
     pairs = met.join(items.withColumnRenamed("at", "item_at").withColumnRenamed("values", "item_values"), "hash")
     aligned = pairs.groupBy("key", "item", "needed", "size", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set(F.struct("at", "item_at", "item_values")).alias("w"))  # at most an item's windows

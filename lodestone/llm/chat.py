@@ -1,8 +1,8 @@
 """Chat formatting: any known record layout to canonical turns, and turns to one training string.
 
-The nested field paths that a record has (or a table's columns) are hashed; the
+The nested field paths that a record or a table's schema has are hashed; the
 fingerprint selects a declarative mapping, which turns prompt, instruction and
-message layouts into ``array<struct<role, text>>``.  Everything is column
+message layouts into ``array<struct<role, text>>``, and tables into turn rows.  Everything is column
 expressions: no Python runs on the rows.
 
 Template: ``<|im_start|>role NEWLINE text <|im_end|> NEWLINE`` per turn.  Control
@@ -11,11 +11,13 @@ strings inside roles and texts are broken up by an escape character, reversibly.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Escape character: itself doubled to ESC + "e"; ESC + "." breaks a control string; ESC + "n" is a newline in a role.
@@ -84,7 +86,7 @@ class Layout:
 
     name: str
     paths: tuple[str, ...]
-    build: Callable[[Column], Column] | None
+    build: Callable[[Column], Column]
     optional: tuple[str, ...] = ()
 
 
@@ -99,7 +101,6 @@ LAYOUTS = (
     Layout("prompt_completion", ("prompt", "completion"), _pair("prompt", "completion"), ("system",)),
     Layout("prompt_response", ("prompt", "response"), _pair("prompt", "response"), ("system",)),
     Layout("question_answer", ("question", "answer"), _pair("question", "answer", "context"), ("context", "system")),
-    Layout("turn_rows", ("conv_id", "turn", "role", "text"), None),
 )
 PATHS = tuple(sorted({p for x in LAYOUTS for p in (*x.paths, *x.optional)}))
 
@@ -132,24 +133,80 @@ def canonical_turns(df: DataFrame, record_col: str, turns: str = "turns", layout
     """
     rows = df.drop(turns, layout).withColumn("__v", F.try_parse_json(F.col(record_col))).withColumn("__f", record_fingerprint(F.col("__v")))
     built, name = F.lit(None).cast("array<struct<role:string,text:string>>"), F.lit(None).cast("string")
-    for x in reversed([x for x in LAYOUTS if x.build]):
+    for x in reversed(LAYOUTS):
         chosen = F.col("__f").isin(*_fingerprints(x))
         built, name = F.when(chosen, x.build(F.col("__v"))).otherwise(built), F.when(chosen, F.lit(x.name)).otherwise(name)
     return rows.withColumn(turns, built).withColumn(layout, name).drop("__v", "__f")
 
 
+@dataclass(frozen=True)
+class TableLayout:
+    """How a table's columns hold turns: a row each (``turn`` orders them), or a list of structs (``items``)."""
+
+    name: str
+    conv: str
+    role: str
+    text: str
+    turn: str | None = None
+    items: str | None = None
+
+    @property
+    def paths(self) -> tuple[str, ...]:
+        if self.items:
+            return (self.conv, self.items, f"{self.items}[].{self.role}", f"{self.items}[].{self.text}")
+        return (self.conv, self.turn, self.role, self.text)
+
+    def build(self, df: DataFrame) -> DataFrame:
+        none = F.lit("")
+        if self.items:
+            each = df.select(F.col(self.conv).alias("conv_id"), F.posexplode(self.items).alias("pos", "t"))
+            number, role, text = F.struct(F.col("pos").cast("long").alias("turn"), none.alias("role"), none.alias("text")), F.col("t")[self.role], F.col("t")[self.text]
+            return each.select("conv_id", number.alias("n"), F.coalesce(role, none).alias("role"), F.coalesce(text, none).alias("text"))
+        role, text = F.coalesce(self.role, none), F.coalesce(self.text, none)
+        return df.select(F.col(self.conv).alias("conv_id"), F.struct(F.col(self.turn).alias("turn"), role.alias("role"), text.alias("text")).alias("n"), role.alias("role"), text.alias("text"))
+
+
+TABLES = (
+    TableLayout("turn_rows", "conv_id", "role", "text", turn="turn"),
+    TableLayout("message_rows", "conversation_id", "role", "content", turn="message_index"),
+    TableLayout("turn_lists", "conv_id", "role", "text", items="turns"),
+    TableLayout("message_lists", "conversation_id", "role", "content", items="messages"),
+)
+
+
+def schema_paths(kind: T.DataType, prefix: str = "") -> set[str]:
+    """Nested field paths of a schema, ``x[].y`` for the fields of a list's structs."""
+    if isinstance(kind, T.ArrayType):
+        return schema_paths(kind.elementType, f"{prefix}[]")
+    if not isinstance(kind, T.StructType):
+        return set()
+    found: set[str] = set()
+    for field in kind:
+        path = f"{prefix}.{field.name}" if prefix else field.name
+        found |= {path} | schema_paths(field.dataType, path)
+    return found
+
+
+def _digest(paths: Iterable[str]) -> str:
+    """What ``fingerprint_of`` gives, of paths that the driver knows."""
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
+
+
+TABLE_OF = {_digest(x.paths): x for x in TABLES}
+
+
 def turn_rows(df: DataFrame) -> DataFrame:
-    """Turn rows (conv_id, n, role, text) of a table of turns or of (conv_id, turns).
+    """Turn rows (conv_id, n, role, text) of a table, by the mapping that the fingerprint of its schema selects.
 
-    The table's own field paths are fingerprinted, as a record's are.
+    The schema's nested field paths are hashed, for each layout those that the
+    layout knows, so that other columns change nothing; the first hash that is a
+    layout's decides.  A table without any is refused.
     """
-    paths = {p for p in PATHS if p in df.columns}
-    if set(LAYOUTS[-1].paths) <= paths:
-        return df.select("conv_id", F.struct(F.col("turn"), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    if "turns" in df.columns:
-        empty = F.lit("")
-        rows = df.select("conv_id", F.posexplode("turns").alias("pos", "t"))
-        return rows.select("conv_id", F.struct(F.col("pos").cast("long").alias("turn"), empty, empty).alias("n"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
+    present = schema_paths(df.schema)
+    for layout in TABLES:
+        found = TABLE_OF.get(_digest(present.intersection(layout.paths)))
+        if found:
+            return found.build(df)
     raise ValueError(f"no layout has the columns {df.columns}")
 
 

@@ -9,18 +9,19 @@ that pages show there, and content nodes, the texts that pages have there:
 * content importance: 1 - H(a) averaged over the texts a, where H(a) is the
   entropy of a's spread over the pages, 0 if one page has it and 1 if all have.
 
-Branches of low importance, alike in looks and words from page to page, are
-furniture and are cut from each page.  What a host's only page marks by itself
-needs no other pages: elements whose tag, role or class says menu, header,
-footer, sidebar, notice, advert, form or comments go on any host.  Plain blocks
-of an ``article`` or ``main`` element are never cut, nor is a host's path with
-the most text.
+A branch's importance is their weighted sum as a share of that of the host's
+path with the most text (copies of a page lower both), times a prior: below one
+for what is labelled by tag, role or class as menu, header, footer, sidebar,
+notice, advert, form or comments, above one for plain blocks of an ``article``
+or ``main`` element.  Branches below ``THRESHOLD`` are cut from each page.  Where
+a host has fewer than ``LEAST_PAGES`` pages with a path, nothing is known but the
+prior.  Furniture whose words differ from page to page is told by its label only.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -33,6 +34,8 @@ from lodestone.llm.common import materialize, slices, with_columns
 
 #: Pages that must have a path, its importance below which it is cut, the weight of looks against words.
 LEAST_PAGES, THRESHOLD, LOOKS = 5, 0.4, 0.1
+#: What a label says: priors of furniture, of what has no label, and of an article's plain blocks.
+FURNITURE, UNLABELLED, ARTICLE = 0.3, 1.0, 1.5
 #: Cut paths up to this many rows (20 bytes each) are broadcast; beyond it they are joined by host.
 BROADCAST_ROWS = 100_000
 
@@ -49,6 +52,9 @@ ENDS |= {t: (frozenset({"td", "th"}), _TABLE) for t in ("td", "th")} | {"tr": (f
 #: Block elements that end an open paragraph, and what holds a paragraph of its own.
 ENDS_P = BLOCK - frozenset({"br", "button", "option", "optgroup", "select", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body", "head", "template", "legend", "textarea"})
 P_STOPS = frozenset({"button", "td", "th", "caption", "table", "template", "object", "html"})
+#: End tags close nothing outside of the cell or table that they are in, but for these.
+CELLS = frozenset({"td", "th", "table"})
+TABLE_ENDS = frozenset("table tr td th tbody thead tfoot body html article main".split())
 
 #: Elements that are never main text, by tag, by role, and by a word of their class or id.
 NOISE_TAGS = frozenset("head title script style noscript template nav footer aside form button select option textarea input iframe object embed svg canvas audio video dialog menu search datalist label fieldset".split())
@@ -60,17 +66,21 @@ NOISE_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset({"comment", "comments", "commentlist", "disqus", "replies", "respond"})
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+STARTS_TAG = re.compile(r"</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
-    path: str
+    #: A hash of the path, and that of the nearest block's.
+    path: int
+    block: int
     noisy: bool
     #: By class or id only, which a page's first article or main overrules.
     named: bool
@@ -80,24 +90,45 @@ class Element:
     children: list[str] = field(default_factory=list)
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    path: str
+    path: int
     text: str
     noisy: bool
     #: 2 in an article, 1 in a main element, 0 elsewhere.
     inside: int
     plain: bool
 
+    @property
+    def prior(self) -> float:
+        return FURNITURE if self.noisy else ARTICLE if self.plain and self.inside else UNLABELLED
+
+    @property
+    def node(self) -> int:
+        """The branch in the tree: the path, and what its label says."""
+        return digest(f"{self.path} {self.prior}")
+
+
+def digest(text: str) -> int:
+    n = xxhash.xxh64_intdigest(text)
+    return n - 2**64 if n >= 2**63 else n
+
 
 class Page:
-    """Blocks of text in page order, and each element's path and child tags."""
+    """Blocks of text in page order, and each element's path and child tags.
+
+    One pass: the time is in proportion to the page's size, whatever is nested or
+    left open in it.  A comment that doesn't end goes to the end of the page, as
+    does a tag; after a tag whose quotes don't end, quotes count no more.
+    """
 
     def __init__(self, html: str | None):
         self.blocks: list[Block] = []
-        self.looks: list[tuple[str, str]] = []
+        self.looks: list[tuple[int, str]] = []
         self.found = False
-        self.stack = [Element("", "", False, False, 0, False)]
+        self.stack = [Element("", 0, 0, False, False, 0, False)]
+        #: Places in the stack of the open elements of each tag.
+        self.open: dict[str, list[int]] = {}
         self.text: list[str] = []
         self._read(html or "")
 
@@ -107,37 +138,36 @@ class Page:
             self.text.clear()
             if said:
                 at = self.stack[-1]
-                k = len(self.stack) - 1
-                while k and self.stack[k].tag not in BLOCK:
-                    k -= 1
-                self.blocks.append(Block(self.stack[k].path, said, at.noisy or at.named, at.inside, at.plain))
+                self.blocks.append(Block(at.block, said, at.noisy or at.named, at.inside, at.plain))
 
     def _close(self, size: int) -> None:
         while len(self.stack) > size:
-            if self.stack[-1].tag in BLOCK or self.stack[-1].noisy or self.stack[-1].named:
+            e = self.stack[-1]
+            if e.tag in BLOCK or e.noisy or e.named:
                 self._flush()
-            e = self.stack.pop()
+            self.stack.pop()
+            self.open[e.tag].pop()
             self.looks.append((e.path, " ".join(t for t, before in zip(e.children, [None, *e.children], strict=False) if t != before)))
 
+    def _last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
     def _end_open(self, ends: frozenset[str], stops: frozenset[str]) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[k].tag
-            if tag in ends:
-                return self._close(k)
-            if tag in stops:
-                return None
-        return None
+        at = self._last(ends)
+        if at > self._last(stops):
+            self._close(at)
 
     def _open(self, tag: str, raw: str, closed: bool) -> None:
-        if tag in ENDS_P:
+        if tag in ENDS_P and self.open.get("p"):
             self._end_open(frozenset({"p"}), P_STOPS)
         if tag in ENDS:
             self._end_open(*ENDS[tag])
         values = {m[1].lower(): next((v for v in m.groups()[1:] if v is not None), "") for m in ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
-        marks = [unescape(values.get(k, "")) for k in ("id", "class")]
-        words = {w for m in marks for w in WORDS.findall(CAMEL.sub(" ", m).lower())}
+        marks = [unescape(values.get(k, "")) for k in ("id", "class")] if values else ["", ""]
+        words = {w for m in marks for w in WORDS.findall(CAMEL.sub(" ", m).lower())} if values else frozenset()
         up = self.stack[-1]
-        tagged = tag in NOISE_TAGS or values.get("role", "").lower() in NOISE_ROLES or "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
+        tagged = tag in NOISE_TAGS or bool(values) and (values.get("role", "").lower() in NOISE_ROLES or "hidden" in values or values.get("aria-hidden", "").lower() == "true" or "display:none" in values.get("style", "").replace(" ", "").lower())
         tagged = tagged or tag == "header" and not up.inside
         named = bool(words & NOISE_WORDS) or not up.inside and "header" in words
         inside, plain, noisy, held = up.inside, up.plain and not words, up.noisy or tagged, up.named or named
@@ -157,41 +187,62 @@ class Page:
         if closed and tag in ("path", "circle", "rect", "use"):
             return
         name = tag + "".join(f"{'#.'[i]}{re.sub(r'[0-9]+', '0', m.lower())}" for i, m in enumerate(marks) if m)
-        self.stack.append(Element(tag, f"{up.path}/{name}", noisy, held, inside, plain))
+        path = digest(f"{up.path}/{name}")
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(Element(tag, path, path if tag in BLOCK else up.block, noisy, held, inside, plain))
+
+    def _end(self, tag: str) -> None:
+        at = self._last((tag,))
+        if at and (tag in TABLE_ENDS or at >= self._last(CELLS)):
+            self._close(at)
+        elif not at and tag in ("p", "br"):
+            self._flush()
 
     def _read(self, html: str) -> None:
-        at, end = 0, len(html)
+        at, end, pattern, sections = 0, len(html), TAG, True
         while at < end:
-            m = TOKEN.search(html, at)
-            if m is None:
+            start = html.find("<", at)
+            if start < 0:
                 self.text.append(html[at:])
                 break
-            if m.start() > at:
-                self.text.append(html[at : m.start()])
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
-                if m[0].startswith("<![CDATA["):
-                    self.text.append(m[0][9:-3].replace("&", "&amp;"))
-                continue
-            if m[1] or m[4]:
-                for k in range(len(self.stack) - 1, 0, -1):
-                    if self.stack[k].tag == tag:
-                        self._close(k)
-                        break
-                    if self.stack[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html", "article", "main"):
-                        break
+            if start > at:
+                self.text.append(html[at:start])
+            at = start
+            if html.startswith(("<!", "<?"), at):
+                if html.startswith("<!--", at):
+                    close, skip = html.find("-->", at + 4), 3
                 else:
-                    if tag in ("p", "br"):
-                        self._flush()
+                    close, skip = -1, 3
+                    if sections and html.startswith("<![CDATA[", at):
+                        close = html.find("]]>", at + 9)
+                        sections = close >= 0
+                        if sections:
+                            self.text.append(html[at + 9 : close].replace("&", "&amp;"))
+                    if close < 0:
+                        close, skip = html.find(">", at), 1
+                at = close + skip if close >= 0 else end
                 continue
-            raw = m[3] if m[2] else m[6]
-            self._open(tag, raw, raw.endswith("/"))
+            if not STARTS_TAG.match(html, at):
+                self.text.append("<")
+                at += 1
+                continue
+            m = pattern.match(html, at)
+            if m is None and pattern is TAG:
+                pattern = PLAIN_TAG
+                m = pattern.match(html, at)
+            if m is None:
+                break  # a tag that doesn't end
+            at, tag = m.end(), m[2].lower()
+            if m[1]:
+                self._end(tag)
+                continue
+            self._open(tag, m[3], m[3].endswith("/"))
             if tag in RAW:
-                close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(html, at)
+                close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
                 if tag == "textarea":
                     self.text.append(html[at : close.start() if close else end])
-                at = close.end() if close else end
+                after = html.find(">", close.end()) if close else -1
+                at = after + 1 if after >= 0 else end
                 if self.stack[-1].tag == tag:
                     self._close(len(self.stack) - 1)
         self._close(1)
@@ -199,18 +250,13 @@ class Page:
 
     def kept(self, cut: set[int]) -> str:
         """The main text: of articles if they have any, else of main elements, else of the whole page."""
-        clean = [b for b in self.blocks if not b.noisy and (b.plain and b.inside or digest(b.path) not in cut)]
+        clean = [b for b in self.blocks if b.prior >= THRESHOLD and not (cut and b.node in cut)]
         most = max((b.inside for b in clean), default=0)
         return " ".join(b.text for b in clean if b.inside == most)
 
 
-def digest(text: str) -> int:
-    n = xxhash.xxh64_intdigest(text)
-    return n - 2**64 if n >= 2**63 else n
-
-
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path: the branches of low importance of each host.
+def branches(pages: DataFrame) -> DataFrame:
+    """host, path (a hash), m, size, prior, importance of every branch with a text; ``pages`` has host and html.
 
     Every count is summed before it is shuffled, and keyed by host, path and
     what is found there, so that no host's pages meet in one task.
@@ -221,28 +267,30 @@ def style_tree(pages: DataFrame) -> DataFrame:
             rows: dict[tuple, list[int]] = {}
             for host, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 page = Page(html)
-                found = {(digest(path), False, digest(look)): 0 for path, look in page.looks}
+                found: dict[tuple, int] = {}
+                ways: dict[int, set] = {}
                 for b in page.blocks:
-                    if not b.noisy and not (b.plain and b.inside):
-                        key = (digest(b.path), True, digest(b.text))
-                        found[key] = found.get(key, 0) + len(b.text)
-                texts = {k[0] for k in found if k[1]}
-                for (path, content, what), size in found.items():
-                    if path in texts:
-                        n = rows.setdefault((host, path, content, what), [0, 0])
-                        n[0] += 1
-                        n[1] += size
-            keys, counts = list(zip(*rows, strict=True)) or [(), (), (), ()], list(rows.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.bool_()), pa.array(keys[3], pa.int64()), pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())],
-                names=["host", "path", "content", "what", "n", "size"],
-            )
-
-    seen = pages.where("host <> ''").select("host", "html").mapInArrow(nodes, "host string, path long, content boolean, what long, n long, size long")
-    found = seen.groupBy("host", "path", "content", "what").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+                    node = b.node
+                    ways.setdefault(b.path, set()).add((node, b.prior))
+                    key = (node, b.prior, True, digest(b.text))
+                    found[key] = found.get(key, 0) + len(b.text)
+                for path, look in page.looks:
+                    for node, prior in ways.get(path, ()):
+                        found.setdefault((node, prior, False, digest(look)), 0)
+                for key, size in found.items():
+                    n = rows.setdefault((host, *key), [0, 0])
+                    n[0] += 1
+                    n[1] += size
+            keys, counts = list(zip(*rows, strict=True)) or [()] * 5, list(rows.values())
+            columns = [*keys, [c[0] for c in counts], [c[1] for c in counts]]
+            kinds = [pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "prior", "content", "what", "n", "size"])
+
+    seen = pages.where("host <> ''").select("host", "html").mapInArrow(nodes, "host string, path long, prior double, content boolean, what long, n long, size long")
+    found = seen.groupBy("host", "path", "prior", "content", "what").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
     texts, looks = F.col("content"), ~F.col("content")
     n_log = F.col("n") * F.log("n")
-    summed = found.groupBy("host", "path").agg(
+    summed = found.groupBy("host", "path", "prior").agg(
         F.sum(F.when(looks, F.col("n"))).alias("m"),
         F.sum(F.when(looks, n_log)).alias("look_log"),
         F.sum(F.when(texts, F.col("n"))).alias("said"),
@@ -251,10 +299,17 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
     log_m = F.log("m")
     presentation = (log_m - F.col("look_log") / F.col("m")) / log_m
-    content = 1 - F.col("said_log") / F.col("said") / log_m
-    scored = summed.where((F.col("m") >= LEAST_PAGES) & (F.col("said") > 0)).withColumn("importance", LOOKS * presentation + (1 - LOOKS) * content)
-    main = summed.groupBy("host").agg(F.max_by("path", F.struct("size", "path")).alias("main"))
-    return scored.where(F.col("importance") < THRESHOLD).join(main, "host").where("path <> main").select("host", "path")
+    content = F.greatest(1 - F.col("said_log") / F.col("said") / log_m, F.lit(0.0))
+    told = F.when(F.col("m") >= LEAST_PAGES, LOOKS * presentation + (1 - LOOKS) * content)
+    scored = materialize(summed.where("said > 0").withColumn("told", told), "style-nodes")
+    main = scored.where("told is not null").groupBy("host").agg(F.max_by("told", F.struct("size", "path")).alias("most"))
+    share = F.when(F.col("told").isNull() | (F.col("most") <= 0), 1.0).otherwise(F.least(F.col("told") / F.col("most"), F.lit(1.0)))
+    return scored.join(main, "host", "left").select("host", "path", F.coalesce("m", F.lit(0)).alias("m"), "size", "prior", (share * F.col("prior")).alias("importance"))
+
+
+def style_tree(pages: DataFrame) -> DataFrame:
+    """host, path: the branches of low importance that a page would keep by its labels alone."""
+    return branches(pages).where((F.col("importance") < THRESHOLD) & (F.col("prior") >= THRESHOLD)).select("host", "path")
 
 
 def extract(df: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,14 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; a local one where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the cluster shares for checkpoints; a local one where none is set, on a local master as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` does not have, whatever the case."""
+    there = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        mark = "__" + name
+        while mark in there:
+            mark = "_" + mark
+        there.add(mark)
+        found.append(mark)
+    return found
+
+
 _written: list[str] = []
 
 

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,13 +120,31 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
+#: Words whose stems a worker remembers.
+CACHE = 200_000
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 
 
+class _Stems(dict):
+    """Stems of words, None for stop words, made on first use; a full table is emptied."""
+
+    def __missing__(self, word: str) -> str | None:
+        lowered = word.lower()
+        found = None if lowered in STOP_WORDS else stem(lowered)
+        if len(self) >= CACHE:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
+_stems = _Stems()
+
+
 def lexemes(text: str) -> list[tuple[str, int]]:
     """Stems with their word positions from 1; stop words have a position but no lexeme."""
-    found = ((m[0].lower(), i) for i, m in enumerate(TOKEN.finditer((text or "")[:INDEXED_CHARS]), 1))
-    return [(stem(w), i) for w, i in found if w not in STOP_WORDS]
+    found = map(_stems.__getitem__, TOKEN.findall((text or "")[:INDEXED_CHARS]))
+    return [(s, i) for i, s in enumerate(found, 1) if s is not None]
 
 
 #: A query is an OR of ANDs; a part is a phrase of (lexeme, offset) and whether it must be absent.
@@ -206,10 +225,36 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text"
     return chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")).mapInPandas(run, f"lexeme string, chunk_id {kind}, positions array<int>")
 
 
+def _wanted(query: Query) -> list[str]:
+    return sorted({w for part in query for phrase, _ in part for w, _ in phrase})
+
+
+def matched(chunks: DataFrame, text: str, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """chunk_id, rank of the chunks that match, from their texts: one pass without a shuffle, where no index is kept."""
+    query = parse_query(text)
+    wanted = frozenset(_wanted(query))
+    kind = chunks.schema[id_col].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ids, ranks = [], []
+            for chunk, said in zip(part.column(0), part.column(1).to_pylist(), strict=True):
+                places: dict[str, list[int]] = {}
+                for w, i in lexemes(said):
+                    if w in wanted:
+                        places.setdefault(w, []).append(i)
+                if matches(query, places):
+                    ids.append(chunk.as_py())
+                    ranks.append(cover_density(query, places))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, part.schema.field(0).type), pa.array(ranks, pa.float64())], names=["chunk_id", "rank"])
+
+    return chunks.select(F.col(id_col).alias("chunk_id"), F.col(text_col).alias("text")).mapInArrow(run, f"chunk_id {kind}, rank double")
+
+
 def ranked(index: DataFrame, text: str) -> DataFrame:
     """chunk_id, rank of the chunks that match; only the query's lexemes are read from the index."""
     query = parse_query(text)
-    wanted = sorted({w for part in query for phrase, _ in part for w, _ in phrase})
+    wanted = _wanted(query)
     held = index.where(F.col("lexeme").isin(*wanted)) if wanted else index.limit(0)
     by_chunk = held.groupBy("chunk_id").agg(F.collect_list(F.struct("lexeme", "positions")).alias("p"))  # at most the query's lexemes
     kind = index.schema["chunk_id"].dataType.simpleString()

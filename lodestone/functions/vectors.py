@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of vectors that one block of the neighbour search may hold; one block alone is broadcast.
 BLOCK_BYTES = 64 * 2**20
@@ -57,10 +59,60 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def measured_bytes(rows: DataFrame, vector: str = "v") -> int:
+    return rows.agg(F.sum(F.size(vector).cast("long") * 8 + 32)).first()[0] or 0
+
+
+def against_all(rows: DataFrame, others: DataFrame, visit: Callable[[pa.Table, pa.Table], pa.Table], kind: str, block_bytes: int | None = None) -> DataFrame:
+    """What ``visit`` makes of parts of ``rows`` and blocks of ``others`` (each with id and v), every row meeting every other.
+
+    One block is broadcast after its size is measured; with more, every block of
+    rows meets every block of others in its own task, and results are partial:
+    the caller reduces them per row.  Pairs are never materialised.
+    """
+    limit = block_bytes or BLOCK_BYTES
+    size = measured_bytes(others)
+    spark = rows.sparkSession
+    if size <= limit:
+        shared = spark.sparkContext.broadcast(others.toArrow())
+
+        def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                if part.num_rows and shared.value.num_rows:
+                    yield from visit(pa.Table.from_batches([part]), shared.value).to_batches()
+
+        return rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(search, kind)
+
+    def dealt(df: DataFrame, n: int) -> DataFrame:
+        return df.withColumn("__block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+
+    n_others = -(-size // limit)
+    n_rows = max(1, -(-measured_bytes(rows) // limit))
+    left = dealt(rows, n_rows).withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(n_others - 1)).cast("array<int>")))
+    right = dealt(others, n_others).withColumnRenamed("__block", "__other").withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)).cast("array<int>")))
+    schema = T._parse_datatype_string(kind)
+    names = schema.fieldNames()
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if a.num_rows and b.num_rows:
+            return visit(a.drop_columns(["__block", "__other"]), b.drop_columns(["__block", "__other"]))
+        return pa.Table.from_batches([], to_arrow_schema(schema)).select(names)
+
+    return left.groupBy("__block", "__other").cogroup(right.groupBy("__block", "__other")).applyInArrow(meet, kind)
+
+
+def unit_rows(table: pa.Table, column: str = "v") -> np.ndarray:
+    return _unit(_matrix(table[column].combine_chunks()))
+
+
+def rounded_distances(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return np.round(1 - rows @ others.T, DECIMALS)
+
+
 def _top(ids: np.ndarray, rows: np.ndarray, other_ids: np.ndarray, others: np.ndarray, k: int) -> Iterator[tuple]:
     """Per row its k nearest others by rounded cosine distance, then id; never itself."""
     for lo in range(0, len(ids), 512):
-        far = np.round(1 - rows[lo : lo + 512] @ others.T, DECIMALS)
+        far = rounded_distances(rows[lo : lo + 512], others)
         far[ids[lo : lo + 512, None] == other_ids[None, :]] = np.inf
         for i, d in enumerate(far):
             near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]) if len(d) else []
@@ -68,48 +120,46 @@ def _top(ids: np.ndarray, rows: np.ndarray, other_ids: np.ndarray, others: np.nd
             yield from ((ids[lo + i], other, float(x)) for x, other in best)
 
 
-def nearest_neighbours(df: DataFrame, k: int, id_col: str = "id", vector: str = "embedding") -> DataFrame:
-    """id, neighbour, distance: the exact k nearest others of every vector by cosine.
+def nearest_neighbours(df: DataFrame, k: int, id_col: str = "id", vector: str = "embedding", of: DataFrame | None = None, block_bytes: int | None = None) -> DataFrame:
+    """id, neighbour, distance: the exact k nearest others of every vector by cosine, or of those whose ids ``of`` (id) has.
 
-    Matrix products over blocks; a block's rows give k candidates each, so pairs
-    are never materialised.  One block is broadcast after its size is measured;
-    with more, every block of rows meets every block of vectors in its own task.
+    Matrix products over blocks; a block's rows give k candidates each.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null")
-    size = rows.agg(F.sum(F.size("v").cast("long") * 8 + 8)).first()[0] or 0
+    others = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null")
+    rows = others if of is None else others.join(of.select(F.col("id").cast("long")).distinct(), "id", "left_semi")
     kind = "id long, neighbour long, distance double"
 
-    def table(found: list[tuple]) -> pa.RecordBatch:
-        a, b, d = list(zip(*found, strict=True)) or ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64())], names=["id", "neighbour", "distance"])
-
-    if size <= BLOCK_BYTES:
-        local = rows.toArrow()
-        ids, unit = local.column(0).to_numpy(), _unit(_matrix(local.column(1).combine_chunks()))
-        shared = df.sparkSession.sparkContext.broadcast((ids, unit))
-
-        def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                if part.num_rows:
-                    yield table(list(_top(part.column(0).to_numpy(), _unit(_matrix(part.column(1))), *shared.value, k)))
-
-        return rows.repartition(df.sparkSession.sparkContext.defaultParallelism).mapInArrow(search, kind)
+    def visit(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = list(_top(a["id"].to_numpy(), unit_rows(a), b["id"].to_numpy(), unit_rows(b), k))
+        one, other, d = list(zip(*found, strict=True)) or ((), (), ())
+        return pa.table({"id": pa.array(one, pa.int64()), "neighbour": pa.array(other, pa.int64()), "distance": pa.array(d, pa.float64())})
 
-    blocks = -(-size // BLOCK_BYTES)
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<int>"))
-    left = numbered.withColumn("other", other).select("block", "other", "id", "v")
-    right = numbered.select(F.col("block").alias("other"), other.alias("block"), "id", "v").select("block", "other", "id", "v")
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = list(_top(a["id"].to_numpy(), _unit(_matrix(a["v"].combine_chunks())), b["id"].to_numpy(), _unit(_matrix(b["v"].combine_chunks())), k)) if a.num_rows and b.num_rows else []
-        return pa.Table.from_batches([table(found)])
-
-    partial = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInArrow(meet, kind)
+    partial = against_all(rows, others, visit, kind, block_bytes)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     return partial.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
+def nearest_of(rows: DataFrame, others: DataFrame, block_bytes: int | None = None) -> DataFrame:
+    """id, other, distance: for every row (id, v) the nearest of ``others`` (id, v) by rounded cosine distance, then id."""
+    kinds = [df.schema["id"].dataType.simpleString() for df in (rows, others)]
+    kind = f"id {kinds[0]}, other {kinds[1]}, distance double"
+
+    def visit(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("id")
+        mine, theirs = unit_rows(a), unit_rows(b)
+        at, far = [], []
+        for lo in range(0, len(mine), 512):
+            d = rounded_distances(mine[lo : lo + 512], theirs)
+            best = d.argmin(axis=1)
+            at.append(best)
+            far.append(d[np.arange(len(d)), best])
+        return pa.table({"id": a["id"], "other": b["id"].take(pa.array(np.concatenate(at))), "distance": pa.array(np.concatenate(far))})
+
+    partial = against_all(rows, others, visit, kind, block_bytes)
+    best = partial.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("b"))
+    return best.select("id", F.col("b.other").alias("other"), F.col("b.distance").alias("distance"))
+
+
 def approximate_pairs(df: DataFrame, most_distance: float, id_col: str = "id", vector: str = "embedding", bucket: float = 0.5, tables: int = 8) -> DataFrame:
     """Pairs within a cosine distance by random projections: opt-in, recall below one, for data where exact blocks cost too much."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

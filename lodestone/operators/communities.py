@@ -1,20 +1,27 @@
-"""Communities of the entity graph by weighted modularity."""
+"""Communities of the entity graph by weighted modularity, in parallel at every size.
+
+Communities grow by merging.  In a round every community names the merge that
+raises modularity most; where two name each other they merge, and what names
+one of the two merges with them too, if it still gains were all that do so merged
+before it.  Equal gains go by a hash of the pair, so that chains of equal weights
+merge everywhere at once.  When no merge gains, single nodes move to a
+neighbouring community that gains more, half of them in a round, as long as
+modularity rises.  Every step is a keyed aggregate or join over the edges; rounds
+are few, for communities shrink in number by a factor in each.
+"""
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import idf
-from lodestone.session import shared_dir
+from lodestone.session import kept
 
-# Sweeps per level, and the gain below which two moves are equal.
-SWEEPS, EPSILON = 100, 1e-12
-#: Edges up to which the exact sequential method runs, in one task; above it labels spread in parallel.
-SEQUENTIAL_EDGES = 5_000_000
+# Fixed value: the gain below which nothing merges or moves.
+EPSILON = 1e-12
+#: Decimals to which gains are compared, and rounds in which nodes may move.
+DECIMALS, MOVES = 9, 4
 
 
 def edge_weights(entities: DataFrame, co_occurrences: DataFrame, chunk_count: int) -> DataFrame:
@@ -24,123 +31,94 @@ def edge_weights(entities: DataFrame, co_occurrences: DataFrame, chunk_count: in
     return co_occurrences.join(a, "src_id").join(b, "dst_id").select("src_id", "dst_id", (F.col("source_count") * F.col("wa") * F.col("wb")).alias("weight"))
 
 
-def _renumbered(labels: list[int]) -> list[int]:
-    seen: dict[int, int] = {}
-    return [seen.setdefault(x, len(seen)) for x in labels]
-
-
-def _moved(near: list[dict[int, float]], degree: list[float], total: float) -> list[int]:
-    """Nodes in order join the neighbouring community of most gain, until none moves; equal gains go to the lower number."""
-    own = list(range(len(near)))
-    weight = list(degree)
-    for _ in range(SWEEPS if total > 0 else 0):
-        moved = False
-        for i, neighbours in enumerate(near):
-            here, d = own[i], degree[i]
-            into: dict[int, float] = defaultdict(float)
-            for j, w in sorted(neighbours.items()):
-                into[own[j]] += w
-            weight[here] -= d
-            best, gain = here, into.get(here, 0.0) - weight[here] * d / total
-            for c in sorted(into):
-                g = into[c] - weight[c] * d / total
-                if g > gain + EPSILON or (g > gain - EPSILON and c < best):
-                    best, gain = c, g
-            weight[best] += d
-            if best != here:
-                own[i], moved = best, True
-        if not moved:
-            break
-    return own
+def _ends(pairs: DataFrame, *more: str) -> DataFrame:
+    """Rows (n, other, ...) of both ends of each pair (a, b, ...)."""
+    return pairs.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("other")), F.struct(F.col("b").alias("n"), F.col("a").alias("other")))).alias("e"), *more).select("e.n", "e.other", *more)
 
 
-def louvain(n: int, edges: list[tuple[int, int, float]], halve_between: bool = True) -> list[int]:
-    """A community for each of ``n`` nodes, numbered by first appearance.
+def _named(map_: DataFrame, side: str) -> DataFrame:
+    return map_.select(F.col("n").alias(side), F.col("into").alias(f"{side}_into"))
+
+
+def _gain(w: Column, d: Column, other: Column, total: float) -> Column:
+    return w - d * other / F.lit(total)
 
-    ``halve_between`` halves the weights between merged nodes at every level, as
-    the behaviour to be matched does; False keeps the total weight.
-    """
-    near: list[dict[int, float]] = [defaultdict(float) for _ in range(n)]
-    loops = [0.0] * n
-    for a, b, w in edges:
-        if w > 0 and a == b:
-            loops[a] += w
-        elif w > 0:
-            near[a][b] += w
-            near[b][a] += w
-    labels = list(range(n))
-    while n:
-        degree = [sum(w for _, w in sorted(x.items())) + 2 * s for x, s in zip(near, loops, strict=True)]
-        own = _renumbered(_moved(near, degree, sum(degree)))
-        k = max(own) + 1
-        if k == len(near):
-            break
-        labels = [own[x] for x in labels]
-        if k == 1:
-            break
-        merged: list[dict[int, float]] = [defaultdict(float) for _ in range(k)]
-        inner = [0.0] * k
-        for i, x in enumerate(near):
-            inner[own[i]] += loops[i]
-            for j, w in sorted(x.items()):
-                if own[i] == own[j]:
-                    inner[own[i]] += w / 2
-                else:
-                    merged[own[i]][own[j]] += w / 2 if halve_between else w
-        near, loops = merged, inner
-    return _renumbered(labels)
-
-
-def communities(entities: DataFrame, weighted: DataFrame, halve_between: bool = True) -> DataFrame:
-    """entity_id, community_id for every entity; one without edges is a community of its own.
-
-    The method is sequential: it runs in one task, after the edges are counted;
-    a graph beyond SEQUENTIAL_EDGES goes to ``spread`` instead.
-    """
-    if weighted.count() > SEQUENTIAL_EDGES:
-        return spread(entities, weighted)
-    kind = entities.schema["entity_id"].dataType.simpleString()
-    node = entities.select("entity_id", F.lit(None).cast(kind).alias("dst"), F.lit(None).cast("double").alias("weight"))
-    edge = weighted.select(F.col("src_id").alias("entity_id"), F.col("dst_id").alias("dst"), "weight")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(part.loc[part["dst"].isna(), "entity_id"])
-        at = {x: i for i, x in enumerate(ids)}
-        rows = part[part["dst"].notna()]
-        edges = sorted((at[a], at[kind_of(b)], w) for a, b, w in rows[["entity_id", "dst", "weight"]].itertuples(index=False) if a in at and kind_of(b) in at)
-        return pd.DataFrame({"entity_id": ids, "community_id": louvain(len(ids), edges, halve_between)})
+def _merges(pairs: DataFrame, degrees: DataFrame, total: float) -> DataFrame:
+    """n, into: the communities that merge in this round, and with which."""
+    a, b = degrees.select(F.col("n").alias("a"), F.col("d").alias("d_a")), degrees.select(F.col("n").alias("b"), F.col("d").alias("d_b"))
+    scored = pairs.join(a, "a").join(b, "b").withColumn("g", F.round(_gain(F.col("w"), F.col("d_a"), F.col("d_b"), total), DECIMALS)).where(F.col("g") > EPSILON)
+    order = F.struct((-F.col("g")).alias("g"), F.xxhash64("a", "b").alias("h"), "a", "b", "w", "d_a", "d_b")
+    best = scored.select(order.alias("o"), "a", "b").select(F.explode(F.array("a", "b")).alias("n"), "o").groupBy("n").agg(F.min("o").alias("o"))
+    best = kept(best.select("n", F.col("o.a").alias("a"), F.col("o.b").alias("b"), F.col("o.w").alias("w"), F.when(F.col("n") == F.col("o.a"), F.col("o.d_a")).otherwise(F.col("o.d_b")).alias("d")), "communities")
+    mutual = best.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.sum("d").alias("d")).where("k = 2").select(F.col("a").alias("into"), "b", F.col("d").alias("pair_d"))
+    member = mutual.select(F.explode(F.array("into", "b")).alias("m"), "into", "pair_d")
+    suitors = best.withColumn("m", F.when(F.col("n") == F.col("a"), F.col("b")).otherwise(F.col("a"))).join(member, "m").join(member.select(F.col("m").alias("n"), F.lit(True).alias("paired")), "n", "left").where("paired is null")
+    weights = suitors.groupBy("into").agg(F.sum("d").alias("all_d"))
+    joined = suitors.join(weights, "into").where(_gain(F.col("w"), F.col("d"), F.col("pair_d") + F.col("all_d") - F.col("d"), total) > EPSILON).select("n", "into")
+    return mutual.select(F.col("b").alias("n"), "into").unionByName(joined)
 
-    kind_of = int if kind in ("int", "bigint", "smallint") else str
-    return node.unionAll(edge).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda p: run(p), f"entity_id {kind}, community_id int")
 
+def _contracted(pairs: DataFrame, merges: DataFrame) -> DataFrame:
+    moved = pairs.join(_named(merges, "a"), "a", "left").join(_named(merges, "b"), "b", "left").select(F.coalesce("a_into", "a").alias("x"), F.coalesce("b_into", "b").alias("y"), "w")
+    return moved.where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w"))
 
-def spread(entities: DataFrame, weighted: DataFrame, rounds: int = 10) -> DataFrame:
-    """Label propagation: a node takes the label with the most weight around it; for graphs beyond one task.
 
-    Half of the nodes move in a round, by a hash of id and round, so that neighbours don't swap labels for ever.
+def _moved(labels: DataFrame, pairs: DataFrame, degrees: DataFrame, total: float, number: int) -> DataFrame:
+    """Labels after one round in which half of the nodes may move to the neighbouring community of most gain."""
+    sums = labels.join(degrees, "n").groupBy("c").agg(F.sum("d").alias("c_d"))
+    votes = _ends(pairs, "w").join(labels.select(F.col("n").alias("other"), "c"), "other").groupBy("n", "c").agg(F.sum("w").alias("w"))
+    own = labels.select("n", F.col("c").alias("own")).join(degrees, "n")
+    scored = votes.join(own, "n").join(sums, "c").withColumn("g", F.round(F.col("w") - F.col("d") * (F.col("c_d") - F.when(F.col("c") == F.col("own"), F.col("d")).otherwise(0.0)) / F.lit(total), DECIMALS))
+    best = scored.groupBy("n").agg(F.min(F.struct((-F.col("g")).alias("g"), "c")).alias("best"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"), F.first("d").alias("d"), F.first("own").alias("own"))
+    stay = F.coalesce("stay", F.lit(0.0))
+    moves = best.where((F.pmod(F.xxhash64("n", F.lit(number)), F.lit(2)) == 0) & (-F.col("best.g") > stay + EPSILON)).select("n", F.col("best.c").alias("into"))
+    return labels.join(moves, "n", "left").select("n", F.coalesce("into", "c").alias("c"))
+
+
+def communities(entities: DataFrame, weighted: DataFrame, moves: int = MOVES) -> DataFrame:
+    """entity_id, community_id (the smallest member's id) for every entity; one without edges is a community of its own.
+
+    ``weighted`` has src_id, dst_id, weight; weights of zero or less, and edges
+    to no entity, count nothing.
     """
-    shared_dir(weighted.sparkSession)
-    both = weighted.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"), "weight").unionAll(weighted.select(F.col("dst_id").alias("a"), F.col("src_id").alias("b"), "weight"))
-    labels = entities.select("entity_id", F.col("entity_id").alias("label"))
-    for number in range(rounds):
-        votes = both.join(labels.withColumnRenamed("entity_id", "b"), "b").groupBy("a", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("a").agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("new"))
-        moves = F.pmod(F.xxhash64("entity_id", F.lit(number)), F.lit(2)) == 0
-        labels = labels.join(best.withColumnRenamed("a", "entity_id"), "entity_id", "left").select("entity_id", F.when(moves, F.coalesce("new", "label")).otherwise(F.col("label")).alias("label")).checkpoint()
-    numbers = labels.groupBy("label").agg(F.min("entity_id").alias("first"))
-    return labels.join(numbers, "label").select("entity_id", F.pmod(F.xxhash64("first"), F.lit(2**31 - 1)).cast("int").alias("community_id"))
+    nodes = entities.select(F.col("entity_id").alias("n")).distinct()
+    known = weighted.where("weight > 0").join(nodes.select(F.col("n").alias("src_id")), "src_id", "left_semi").join(nodes.select(F.col("n").alias("dst_id")), "dst_id", "left_semi")
+    every = kept(known.groupBy(F.least("src_id", "dst_id").alias("a"), F.greatest("src_id", "dst_id").alias("b")).agg(F.sum("weight").alias("w")), "communities")
+    degrees = kept(every.select(F.explode(F.array("a", "b")).alias("n"), "w").groupBy("n").agg(F.sum("w").alias("d")), "communities")
+    total = degrees.agg(F.sum("d")).first()[0] or 0.0
+    labels = nodes.withColumn("c", F.col("n"))
+    pairs, sums = every.where("a <> b"), degrees
+    while total:
+        merges = kept(_merges(pairs, sums, total), "communities")
+        if merges.isEmpty():
+            break
+        labels = kept(labels.join(merges.select(F.col("n").alias("c"), "into"), "c", "left").select("n", F.coalesce("into", "c").alias("c")), "communities")
+        pairs = kept(_contracted(pairs, merges), "communities")
+        sums = kept(sums.join(merges, "n", "left").groupBy(F.coalesce("into", "n").alias("n")).agg(F.sum("d").alias("d")), "communities")
+    if total and moves:
+        best = modularity(_as_communities(labels), known)
+        for number in range(moves):
+            after = kept(_moved(labels, every.where("a <> b"), degrees, total, number), "communities")
+            found = modularity(_as_communities(after), known)
+            if found <= best + EPSILON:
+                break
+            labels, best = after, found
+    return _as_communities(labels)
+
+
+def _as_communities(labels: DataFrame) -> DataFrame:
+    least = labels.groupBy("c").agg(F.min("n").alias("community_id"))
+    return labels.join(least, "c").select(F.col("n").alias("entity_id"), "community_id")
 
 
 def modularity(communities: DataFrame, weighted: DataFrame) -> float:
     """Of a partition, between -0.5 and 1."""
     a = communities.select(F.col("entity_id").alias("src_id"), F.col("community_id").alias("ca"))
     b = communities.select(F.col("entity_id").alias("dst_id"), F.col("community_id").alias("cb"))
-    known = weighted.join(a, "src_id").join(b, "dst_id").cache()
-    total = known.agg(F.sum("weight")).first()[0] or 0.0
-    inside = known.where("ca = cb").agg(F.sum("weight")).first()[0] or 0.0
-    ends = known.select(F.explode(F.array("ca", "cb")).alias("c"), "weight").groupBy("c").agg(F.sum("weight").alias("d"))
-    squares = ends.agg(F.sum(F.col("d") * F.col("d"))).first()[0] or 0.0
-    known.unpersist()
-    return inside / total - squares / (2 * total) ** 2 if total else 0.0
-
-
+    known = weighted.join(a, "src_id").join(b, "dst_id")
+    by_pair = known.groupBy("ca", "cb").agg(F.sum("weight").alias("w"))
+    ends = by_pair.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), F.when(F.col("ca") == F.col("cb"), F.col("w")).otherwise(0.0).alias("inside")), F.struct(F.col("cb").alias("c"), F.lit(0.0).alias("inside")))).alias("e"), "w")
+    sums = ends.groupBy("e.c").agg(F.sum("w").alias("d"), F.sum("e.inside").alias("inside"))
+    inside, both, squares = sums.agg(F.sum("inside"), F.sum("d"), F.sum(F.col("d") * F.col("d"))).first()
+    return 2 * inside / both - squares / both**2 if both else 0.0

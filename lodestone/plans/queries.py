@@ -20,8 +20,7 @@ from lodestone.sources import ingest, normalize, sniff
 from lodestone.streaming import knowledge
 
 DECIMALS = 6
-TEMPORAL_WINDOW, TEMPORAL_TAU = 900.0, 300.0
-WORDS = ("that", "with")
+WORDS = "clown or worthless or pathetic"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -213,14 +212,14 @@ def user_times(spark, sf_dir):
 
 
 def temporal_edges(spark, sf_dir):
-    found = edges.temporal(user_times(spark, sf_dir), TEMPORAL_WINDOW, TEMPORAL_TAU)
+    found = edges.temporal(user_times(spark, sf_dir))
     return found.select("src_id", "dst_id", "rel", rounded("weight").alias("weight"))
 
 
 def all_edges(spark, sf_dir):
     """Similar and temporal edges over the same small ids."""
     near = edges.similar(chunk_embeddings(spark, sf_dir).select(F.col("chunk_id").alias("entity_id"), "embedding"))
-    return near.unionByName(edges.temporal(user_times(spark, sf_dir), TEMPORAL_WINDOW, TEMPORAL_TAU))
+    return near.unionByName(edges.temporal(user_times(spark, sf_dir)))
 
 
 def missing_embeddings(spark, sf_dir):
@@ -290,22 +289,36 @@ def driving_pair(spark, sf_dir):
     return found.select("a_chunk", "b_chunk", rounded("distance").alias("distance"))
 
 
+def marked_vectors(spark, sf_dir):
+    """Every embedding as a small change to its label's axis, so that labels are the clusters of any method."""
+    axis = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i == F.col("label"), 5.0).otherwise(0.0))
+    moved = F.zip_with(axis, "embedding", lambda a, x: a + 0.05 * x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), moved.alias("embedding"), F.col("label").cast("string").alias("cluster_id"))
+
+
 def cluster_assign(spark, sf_dir):
-    return clusters.assign(chunk_embeddings(spark, sf_dir).select("chunk_id", "embedding"), ["chunk_id"]).select("chunk_id", "cluster_id", rounded("similarity").alias("similarity"))
+    return clusters.assign(marked_vectors(spark, sf_dir), ["chunk_id"]).select("chunk_id", "cluster_id")
 
 
 def density_clusters(spark, sf_dir):
-    return clusters.density_clusters(chunk_embeddings(spark, sf_dir).select("chunk_id", "embedding"), 5)
+    """Each cluster under its first chunk."""
+    found = clusters.density_clusters(marked_vectors(spark, sf_dir), 5)
+    first = found.groupBy("label").agg(F.min("chunk_id").alias("first_chunk"))
+    return found.join(first, "label").select("chunk_id", "first_chunk")
 
 
 def stable_ids(spark, sf_dir):
-    members, _ = clusters.recluster(chunk_embeddings(spark, sf_dir).select("chunk_id", "embedding"), chunk_embeddings(spark, sf_dir).select("chunk_id", "cluster_id"), 5)
+    members, _ = clusters.recluster(marked_vectors(spark, sf_dir).drop("cluster_id"), marked_vectors(spark, sf_dir).select("chunk_id", "cluster_id"), 5)
     return members
 
 
 def louvain_communities(spark, sf_dir):
-    near = edges.similar(chunk_embeddings(spark, sf_dir).select(F.col("chunk_id").alias("entity_id"), "embedding"))
-    return communities.communities(chunk_embeddings(spark, sf_dir).select(F.col("chunk_id").alias("entity_id")), near)
+    """Events in groups of five that know each other; a group knows the next a little."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("entity_id"))
+    place = F.col("entity_id") % 5
+    near = events.select(F.col("entity_id").alias("src_id"), F.explode(F.sequence(F.col("entity_id") + 1, F.col("entity_id") + 5 - place)).alias("dst_id"), place.alias("place"))
+    weight = F.when(F.col("dst_id") % 5 == 0, F.when(F.col("place") == 4, 1e-6)).otherwise(1.0)
+    return communities.communities(events, near.withColumn("weight", weight).where("weight is not null").select("src_id", "dst_id", "weight"))
 
 
 def community_weights(spark, sf_dir):
@@ -333,18 +346,8 @@ def cluster_entities(spark, sf_dir):
 
 
 def word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the words are in the documents that have all of them: the plain layer under the lexical rank."""
-    found = F.transform(text.words(F.lower("text")), lambda w: F.regexp_replace(w, "[^a-z]", ""))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), found.alias("w"))
-    counts = [F.size(F.filter("w", _is(word))) for word in WORDS]
-    ranked = docs.select("chunk_id", *[c.alias(f"n{i}") for i, c in enumerate(counts)])
-    for i in range(len(WORDS)):
-        ranked = ranked.where(F.col(f"n{i}") > 0)
-    return ranked.select("chunk_id", sum((F.col(f"n{i}") for i in range(1, len(WORDS))), F.col("n0")).cast("double").alias("rank"))
-
-
-def _is(word: str):
-    return lambda x: x == F.lit(word)
+    """The lexical rank of the documents that match WORDS."""
+    return fts.matched(table(spark, sf_dir, "documents"), WORDS, "doc_id")
 
 
 def vector_search(spark, sf_dir):
@@ -353,7 +356,7 @@ def vector_search(spark, sf_dir):
 
 
 def keyword_search(spark, sf_dir):
-    return search.keyword_signal(word_scores(spark, sf_dir), 20).select("chunk_id", "rank", "score")
+    return search.keyword_signal(word_scores(spark, sf_dir), 20).select("chunk_id", "rank", rounded("score").alias("score"))
 
 
 def hybrid_hits(spark, sf_dir):
@@ -371,8 +374,8 @@ def ask_gate(spark, sf_dir):
 
 def lexical_search(spark, sf_dir):
     """Stems, phrases, alternatives and absence, by cover density."""
-    index = fts.postings(table(spark, sf_dir, "documents"), "doc_id")
-    return fts.ranked(index, '"idiot" or pathetic clown -worthless').orderBy(F.desc("rank"), "chunk_id").limit(50)
+    found = fts.matched(table(spark, sf_dir, "documents"), '"idiot" or pathetic clown -worthless', "doc_id")
+    return found.orderBy(F.desc("rank"), "chunk_id").limit(50)
 
 
 def citation_leash(spark, sf_dir):

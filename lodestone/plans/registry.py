@@ -51,9 +51,9 @@ sim AS (SELECT least(id, neighbour) AS src_id, greatest(id, neighbour) AS dst_id
 """
 TEMPORAL = """
 ev AS (SELECT DISTINCT user_id AS id, epoch_us(ts) AS t FROM events),
-pairs AS (SELECT a.id, b.id AS neighbour, min(abs(a.t - b.t)) / 1e6 AS d FROM ev a JOIN ev b ON a.id <> b.id AND b.t BETWEEN a.t - 900000000 AND a.t + 900000000 GROUP BY 1, 2),
+pairs AS (SELECT a.id, b.id AS neighbour, min(abs(a.t - b.t)) / 1e6 AS d FROM ev a JOIN ev b ON a.id <> b.id AND b.t BETWEEN a.t - 1209600000000 AND a.t + 1209600000000 GROUP BY 1, 2),
 near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, neighbour) AS r FROM pairs QUALIFY r <= 6),
-temporal AS (SELECT least(id, neighbour) AS src_id, greatest(id, neighbour) AS dst_id, max(exp(-d / 300)) AS weight FROM near GROUP BY 1, 2)
+temporal AS (SELECT least(id, neighbour) AS src_id, greatest(id, neighbour) AS dst_id, max(exp(-d / 604800)) AS weight FROM near GROUP BY 1, 2)
 """
 CENTERS = VEC + """,
 pos AS (SELECT label::VARCHAR AS cluster_id, i - 1 AS pos, avg(e[i]) AS x FROM v, range(1, 65) r(i) GROUP BY 1, 2),
@@ -62,9 +62,8 @@ centers AS (SELECT cluster_id, list(x ORDER BY pos) AS c FROM pos GROUP BY 1)
 SIGNALS = VEC + """,
 vec AS (SELECT id AS chunk_id, round(1 - list_cosine_similarity(e, (SELECT e FROM v WHERE id = 0)), 9) AS dist,
   row_number() OVER (ORDER BY round(1 - list_cosine_similarity(e, (SELECT e FROM v WHERE id = 0)), 9), id) AS rank FROM v),
-w AS (SELECT doc_id AS chunk_id, list_transform(regexp_split_to_array(lower(text), '[\\s\\x0b\\x{85}\\p{Z}]+'), lambda x: regexp_replace(x, '[^a-z]', '', 'g')) AS w FROM documents),
-n AS (SELECT chunk_id, len(list_filter(w, lambda x: x = 'that')) AS a, len(list_filter(w, lambda x: x = 'with')) AS b FROM w),
-kw AS (SELECT chunk_id, (a + b)::DOUBLE AS score, row_number() OVER (ORDER BY a + b DESC, chunk_id) AS rank FROM n WHERE a > 0 AND b > 0),
+w AS (SELECT doc_id AS chunk_id, list_filter(regexp_extract_all(lower(substr(text, 1, 100000)), '[\\p{L}\\p{N}]+(?:''[\\p{L}\\p{N}]+)?'), lambda x: x IN ('clown', 'clowns', 'clowned', 'clowning', 'clown''s', 'worthless', 'pathetic', 'pathetically')) AS w FROM documents),
+kw AS (SELECT chunk_id, len(w) * 0.1 AS score, row_number() OVER (ORDER BY len(w) DESC, chunk_id) AS rank FROM w WHERE len(w) > 0),
 u AS (SELECT chunk_id, rank, dist, true AS semantic FROM vec WHERE rank <= 80 UNION ALL SELECT chunk_id, rank, NULL, false FROM kw WHERE rank <= 80),
 fused AS (SELECT chunk_id, sum(1.0 / (60 + rank)) AS score, bool_or(semantic) AS semantic, bool_or(NOT semantic) AS keyword, min(dist) AS distance FROM u GROUP BY 1 ORDER BY score DESC, chunk_id LIMIT 20)
 """
@@ -131,11 +130,15 @@ def oracle_sql() -> dict[str, str]:
         "representatives": f"WITH {CENTERS}, d AS (SELECT cluster_id, id AS chunk_id, round(1 - list_cosine_similarity(e, c), 9) AS d FROM v JOIN centers ON cluster_id = label::VARCHAR) SELECT cluster_id, chunk_id, (row_number() OVER (PARTITION BY cluster_id ORDER BY d, chunk_id))::INT AS place, round(d, 6) AS distance FROM d QUALIFY place <= 20",
         "cluster_list": "SELECT label::VARCHAR AS cluster_id, count(*) AS size FROM embeddings GROUP BY 1",
         "driving_pair": f"WITH {VEC}, a AS (SELECT * FROM v WHERE label = 1 ORDER BY id DESC LIMIT 25), b AS (SELECT * FROM v WHERE label = 2 ORDER BY id DESC LIMIT 25) SELECT a.id AS a_chunk, b.id AS b_chunk, round(1 - list_cosine_similarity(a.e, b.e), 6) AS distance FROM a, b WHERE a.id <> b.id ORDER BY round(1 - list_cosine_similarity(a.e, b.e), 9), 1, 2 LIMIT 1",
+        "cluster_assign": "SELECT vec_id AS chunk_id, (min(vec_id) OVER (PARTITION BY label))::VARCHAR AS cluster_id FROM embeddings",
+        "density_clusters": "SELECT vec_id AS chunk_id, min(vec_id) OVER (PARTITION BY label) AS first_chunk FROM embeddings",
+        "stable_ids": "SELECT label::VARCHAR AS cluster_id, vec_id AS chunk_id, 1.0::DOUBLE AS similarity FROM embeddings",
+        "louvain_communities": "SELECT event_id AS entity_id, event_id - event_id % 5 AS community_id FROM events",
         "community_weights": f"WITH {EDGES}, n AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem) SELECT src_id, dst_id, round(source_count * sqrt(ln(1 + n / greatest(a.mention_count, 1))) * sqrt(ln(1 + n / greatest(b.mention_count, 1))), 6) AS weight FROM edges JOIN ents a ON a.entity_id = src_id JOIN ents b ON b.entity_id = dst_id, n",
         "bridges": f"WITH {KNN} SELECT src_id, dst_id, a.label::VARCHAR AS a_community, b.label::VARCHAR AS b_community, round(weight, 6) AS weight FROM sim JOIN v a ON a.id = src_id JOIN v b ON b.id = dst_id WHERE a.label <> b.label ORDER BY round(weight, 6) DESC, 1, 2 LIMIT 20",
         "cluster_entities": "WITH c AS (SELECT o_orderpriority AS cluster_id, l_partkey AS value, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2) SELECT cluster_id, p_brand AS kind, value, n, (row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, p_brand, value))::INT AS place FROM c JOIN part ON p_partkey = value QUALIFY place <= 15",
         "vector_search": f"WITH {SIGNALS} SELECT chunk_id, rank::INT AS rank, round(dist, 6) AS distance, round(1 / (1 + dist), 6) AS score FROM vec WHERE rank <= 20",
-        "keyword_search": f"WITH {SIGNALS} SELECT chunk_id, rank::INT AS rank, score FROM kw WHERE rank <= 20",
+        "keyword_search": f"WITH {SIGNALS} SELECT chunk_id, rank::INT AS rank, round(score, 6)::DOUBLE AS score FROM kw WHERE rank <= 20",
         "hybrid_search": f"WITH {SIGNALS} SELECT chunk_id, round(score, 6)::DOUBLE AS score, semantic, keyword, round(distance, 6) AS distance FROM fused",
         "ask_gate": f"WITH {SIGNALS} SELECT chunk_id, semantic, keyword FROM fused WHERE (keyword OR distance <= 0.55) AND (SELECT bool_or(keyword) OR coalesce(min(distance) <= 0.45, false) FROM fused)",
         "citation_leash": """WITH t AS (SELECT conv_id, turn, text, max(turn) OVER (PARTITION BY conv_id) + 1 AS most FROM conversations)

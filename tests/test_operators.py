@@ -14,18 +14,42 @@ from lodestone.streaming import knowledge
 TRIANGLES = [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 1.0), (3, 4, 1.0), (4, 5, 1.0), (3, 5, 1.0)]
 
 
-@pytest.mark.parametrize("halve", [True, False])
+def grouped(spark, n, links):
+    nodes = spark.range(n).select(F.col("id").alias("entity_id"))
+    weighted = spark.createDataFrame(links, "src_id long, dst_id long, weight double")
+    return {r["entity_id"]: r["community_id"] for r in communities.communities(nodes, weighted).collect()}
+
+
 @pytest.mark.parametrize(
     ("n", "links", "labels"),
-    [(6, [*TRIANGLES, (2, 3, 0.1)], [0, 0, 0, 1, 1, 1]), (0, [], []), (3, [], [0, 1, 2]), (2, [(0, 1, 1.0)], [0, 0]), (3, [(0, 1, 0.0), (1, 2, -1.0), (0, 0, 5.0)], [0, 1, 2])],
+    [
+        (6, [*TRIANGLES, (2, 3, 0.1)], [0, 0, 0, 3, 3, 3]),
+        (0, [], []),
+        (3, [], [0, 1, 2]),
+        (2, [(0, 1, 1.0)], [0, 0]),
+        (3, [(0, 1, 0.0), (1, 2, -1.0), (0, 0, 5.0)], [0, 1, 2]),
+        (3, [(0, 1, 1.0), (1, 0, 1.0), (0, 9, 4.0), (2, 2, 1.0)], [0, 0, 2]),
+    ],
 )
-def test_communities_of_small_graphs(n, links, labels, halve):
-    assert communities.louvain(n, links, halve) == labels
+def test_communities_of_small_graphs(spark, n, links, labels):
+    assert grouped(spark, n, links) == dict(enumerate(labels))
+
+
+def test_a_weak_hub_joins_no_two_groups(spark):
+    found = grouped(spark, 7, [*TRIANGLES, *[(i, 6, 0.1) for i in range(6)]])
+    assert len({found[i] for i in range(3)}) == len({found[i] for i in range(3, 6)}) == 1 and found[0] != found[3]
 
 
-def test_a_weak_hub_joins_nothing():
-    found = communities.louvain(7, [*TRIANGLES, *[(i, 6, 0.1) for i in range(6)]])
-    assert len(set(found[:3])) == len(set(found[3:6])) == 1 and found[0] != found[3]
+def test_hubs_chains_and_planted_groups(spark):
+    assert set(grouped(spark, 400, [(0, i, 1.0) for i in range(1, 400)]).values()) == {0}
+    rng = np.random.default_rng(2)
+    links = [(a, b, 1.0) for a in range(120) for b in range(a + 1, 120) if rng.random() < (0.5 if a % 4 == b % 4 else 0.02)]
+    found = grouped(spark, 120, links)
+    assert all(found[i] == i % 4 for i in range(120))
+    chain = grouped(spark, 300, [(i, i + 1, 1.0) for i in range(299)])
+    df = spark.createDataFrame(list(chain.items()), "entity_id long, community_id long")
+    weighted = spark.createDataFrame([(i, i + 1, 1.0) for i in range(299)], "src_id long, dst_id long, weight double")
+    assert communities.modularity(df, weighted) > 0.85
 
 
 @pytest.fixture(scope="module")
@@ -40,11 +64,9 @@ def test_communities_and_bridges(spark, small_graph):
     weighted = communities.edge_weights(nodes, links.where("rel = 'co_occurs'"), 10)
     found = communities.communities(nodes, weighted)
     labels = {r["entity_id"]: r["community_id"] for r in found.collect()}
-    assert labels == {0: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 2, 7: 3}
+    assert labels == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: 6, 7: 7}
     assert communities.modularity(found, weighted) == pytest.approx(0.468, abs=0.001)
     assert [(r["src_id"], r["dst_id"]) for r in graph.bridges(nodes, links, found).collect()] == [(2, 3)]
-    parallel = {r["entity_id"]: r["community_id"] for r in communities.spread(nodes, weighted, 8).collect()}
-    assert parallel[0] == parallel[1] and parallel[0] != parallel[4]
 
 
 def test_graph_views(small_graph):
@@ -109,7 +131,32 @@ def test_density_clusters_are_the_blobs(spark):
     found = {r["chunk_id"]: r["label"] for r in clusters.density_clusters(df, 5).collect()}
     assert 99 not in found and len(set(found.values())) == 3
     assert all(len({found[i] for i in range(k, 60, 3) if i in found}) == 1 for k in range(3))
-    assert set(clusters.density_labels(np.zeros((1, 3)), 2)) == {-1}
+    assert {r["chunk_id"]: r["label"] for r in clusters.density_clusters(df, 5, block_bytes=1500).collect()} == found
+    assert clusters.density_clusters(df.limit(1), 2).count() == 0 and clusters.density_clusters(df.limit(0), 2).count() == 0
+
+
+def test_spanning_trees_are_the_lightest(spark):
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(70, 4))
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    far = np.sqrt(2 * np.maximum(np.round(1 - unit @ unit.T, 9), 0))
+    core = np.sort(far, axis=1)[:, 3]
+    reach = np.maximum(np.maximum(far, core[:, None]), core[None, :])
+    parent, weight = list(range(70)), 0.0
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for d, a, b in sorted((reach[a, b], a, b) for a in range(70) for b in range(a + 1, 70)):
+        if top(a) != top(b):
+            parent[top(a)] = top(b)
+            weight += d
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "id long, v array<double>")
+    for block in (None, 900):
+        tree = clusters.spanning_tree(df, 4, block).collect()
+        assert len(tree) == 69 and sum(r["d"] for r in tree) == pytest.approx(weight, abs=1e-4)
 
 
 def test_ids_stay_with_most_members(spark):
@@ -135,6 +182,77 @@ def test_assignment_does_not_depend_on_partitions(spark):
     assert {r["cluster_id"] for r in again.collect()} == {"0", "1", "2"}
 
 
+def test_batches_are_assigned_in_order(spark):
+    df = spark.createDataFrame(blobs(90), "chunk_id long, embedding array<float>")
+    for batch in (7, 30, 1000):
+        found = {r["chunk_id"]: r["cluster_id"] for r in clusters.assign(df, ["chunk_id"], batch=batch).collect()}
+        assert found == {i: str(i % 3) for i in range(90)}
+    again = clusters.assign(df, ["chunk_id"], members=df.where("chunk_id < 80").select("chunk_id"))
+    assert {r["chunk_id"] for r in again.collect()} == set(range(80, 90))
+    assert clusters.assign(df.limit(0), ["chunk_id"]).count() == 0
+
+
+def test_claims_of_old_ids_in_turn(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(0, 14)), f"c{rng.integers(0, 12)}") for i in range(300)]
+    groups = spark.createDataFrame([(i, g) for i, g, _ in rows], "chunk_id long, label int")
+    old = spark.createDataFrame([(i, c) for i, _, c in rows], "chunk_id long, cluster_id string")
+    members = {g: [(i, c) for i, h, c in rows if h == g] for g in {g for _, g, _ in rows}}
+    free, want = {c for _, _, c in rows}, {}
+    for g in sorted(members, key=lambda g: (-len(members[g]), min(i for i, _ in members[g]))):
+        counts = {c: sum(x == c for _, x in members[g]) for c in free & {c for _, c in members[g]}}
+        best = max(counts, key=lambda c: (counts[c], c), default=None)
+        want[g] = best or f"new-{min(i for i, _ in members[g])}"
+        free.discard(best)
+    assert {r["label"]: r["cluster_id"] for r in clusters.stable_ids(groups, old).collect()} == want
+
+
+def test_nearest_neighbours_in_blocks(spark):
+    from lodestone.functions import vectors
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(80, 5)))] + [(80, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    whole = sorted(map(str, vectors.nearest_neighbours(df, 4).collect()))
+    assert sorted(map(str, vectors.nearest_neighbours(df, 4, block_bytes=700).collect())) == whole and len(whole) == 320
+    some = vectors.nearest_neighbours(df, 4, of=df.where("id < 3").select("id"))
+    assert sorted(map(str, some.collect())) == [r for r in whole if r.startswith(("Row(id=0,", "Row(id=1,", "Row(id=2,"))]
+    left, right = df.where("id < 50").select("id", F.col("embedding").alias("v")), df.where("id between 50 and 79").select(F.col("id").cast("string").alias("id"), F.col("embedding").alias("v"))
+    assert sorted(map(str, vectors.nearest_of(left, right).collect())) == sorted(map(str, vectors.nearest_of(left, right, 500).collect()))
+
+
+def test_times_are_swept_as_all_pairs_would_be(spark):
+    rng = np.random.default_rng(7)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(int(e), start + datetime.timedelta(seconds=int(s))) for e, s in zip(rng.integers(0, 30, 500), rng.integers(0, 400, 500), strict=True)]
+    df = spark.createDataFrame(rows, "entity_id long, event_time timestamp")
+    for window, k in ((3, 2), (50, 6), (10**6, 4)):
+        near = {}
+        for a, t in set(rows):
+            for b, u in set(rows):
+                d = abs((t - u).total_seconds())
+                if a != b and d <= window:
+                    near[a, b] = min(near.get((a, b), d), d)
+        want = {(a, b, d) for a in range(30) for d, b in sorted((d, b) for (x, b), d in near.items() if x == a)[:k]}
+        found = edges.temporal_pairs(df.repartition(5), window, k).collect()
+        assert {(r["id"], r["neighbour"], r["delta_secs"]) for r in found} == want
+    assert edges.temporal_pairs(df.limit(0), 5).count() == 0
+
+
+def test_edges_are_added_for_some_entities(spark):
+    rng = np.random.default_rng(8)
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(40, 3)))], "entity_id long, embedding array<float>")
+    whole = edges.similar(vectors)
+    first = edges.similar(vectors.where("entity_id < 30"))
+    grown = edges.similar_added(first, vectors, vectors.where("entity_id >= 30").select("entity_id"))
+    pairs = lambda df: {(r["src_id"], r["dst_id"]) for r in df.collect()}
+    assert pairs(first) <= pairs(grown) and {p for p in pairs(whole) if max(p) >= 30 and p not in pairs(grown)} == {p for p in pairs(whole) if max(p) >= 30} - pairs(grown)
+    asked = edges.similar(vectors, of=vectors.where("entity_id >= 30").select(F.col("entity_id").alias("id")))
+    assert pairs(grown) == pairs(first) | pairs(asked)
+    again = edges.similar_added(grown, vectors, vectors.select("entity_id"))
+    assert pairs(whole) <= pairs(again) and again.count() == again.select("src_id", "dst_id", "rel").distinct().count()
+
+
 def test_self_collected_clusters(spark):
     members = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "cluster_id string, chunk_id long")
     chunks = spark.createDataFrame([(1, "x"), (2, "y"), (3, "y")], "chunk_id long, document_id string")
@@ -159,7 +277,7 @@ def test_answers_keep_citations_that_resolve(spark):
     asked = []
     found = search.ask("why?", df, lambda p: asked.append(p) or "Because [C2]. Also [C7] and [c2].")
     assert [(c["marker"], c["chunk_id"]) for c in found["citations"]] == [("C2", 2)] and found["context_used"] == 2
-    assert '[C1] (from "T")' in asked[0] and '(from "untitled")' in asked[0]
+    assert "[C1] T: first" in asked[0] and "[C2] untitled: second" in asked[0]
     assert search.ask("why?", df.limit(0), lambda p: "x") == {"answer": search.NO_EVIDENCE, "citations": [], "context_used": 0}
 
 

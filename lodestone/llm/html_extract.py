@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, slices, with_columns
+from lodestone.llm.common import give_back, materialize, slices, with_columns
 
 #: Pages that must have a path, its importance below which it is cut, the weight of looks against words.
 LEAST_PAGES, THRESHOLD, LOOKS = 5, 0.4, 0.1
@@ -285,6 +285,8 @@ def branches(pages: DataFrame) -> DataFrame:
             columns = [*keys, [c[0] for c in counts], [c[1] for c in counts]]
             kinds = [pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "prior", "content", "what", "n", "size"])
+            rows.clear()
+        give_back()
 
     seen = pages.where("host <> ''").select("host", "html").mapInArrow(nodes, "host string, path long, prior double, content boolean, what long, n long, size long")
     found = seen.groupBy("host", "path", "prior", "content", "what").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import fts, indicators, text, vectors
-from lodestone.operators import clusters, communities, edges, entities, graph, insights, search
+from lodestone.functions.providers import HashingEmbedder
+from lodestone.operators import clusters, communities, edges, entities, graph, insights, search, views
 from lodestone.session import shared_dir
 from lodestone.sources import ingest, normalize, sniff
 from lodestone.streaming import knowledge
@@ -222,9 +223,13 @@ def all_edges(spark, sf_dir):
     return near.unionByName(edges.temporal(user_times(spark, sf_dir)))
 
 
+def spaced_embeddings(spark, sf_dir):
+    return chunk_embeddings(spark, sf_dir).select("chunk_id", F.lit(1).cast("smallint").alias("space_id"), "embedding")
+
+
 def missing_embeddings(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
-    return docs.join(chunk_embeddings(spark, sf_dir), "chunk_id", "left_anti").orderBy("chunk_id").limit(1000)
+    return views.missing(docs, spaced_embeddings(spark, sf_dir), 1)
 
 
 def embedding_progress(spark, sf_dir):
@@ -430,10 +435,287 @@ def stream_equivalence(spark, sf_dir):
     return spark.read.parquet(f"{path}/out/documents").select("content_hash", "label", "status")
 
 
+# lookups, counts and views
+
+
+def turn_chunks(spark, sf_dir):
+    """A conversation as a document, its turns as chunks."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("seq"), "role", "text")
+
+
+def document_chunks(spark, sf_dir):
+    return views.chunks_of(turn_chunks(spark, sf_dir), 1).select("seq", "role", F.md5("text").alias("text_md5"))
+
+
+def point_lookups(spark, sf_dir):
+    doc = views.by_id(table(spark, sf_dir, "documents"), "doc_id", 42).select(F.lit("document").alias("what"), F.col("doc_id").alias("id"))
+    part = views.by_id(parts(spark, sf_dir), "entity_id", 7).select(F.lit("entity").alias("what"), F.col("entity_id").alias("id"))
+    none = views.by_id(table(spark, sf_dir, "orders"), "o_orderkey", -1).select(F.lit("chunk").alias("what"), F.col("o_orderkey").alias("id"))
+    return doc.unionAll(part).unionAll(none)
+
+
+def chunk_cluster(spark, sf_dir):
+    return views.cluster_of(chunk_embeddings(spark, sf_dir), 3)
+
+
+def space_vectors(spark, sf_dir):
+    """The vectors of a space, and that of one chunk."""
+    every = spaced_embeddings(spark, sf_dir)
+    one = views.vector_of(every, 5, 1).select(F.lit(-5).cast("long").alias("chunk_id"), "embedding")
+    found = views.vectors_in(every, 1).unionByName(one).unionByName(views.vectors_in(every, 2))
+    return found.select("chunk_id", rounded(F.element_at("embedding", 1).cast("double")).alias("first"))
+
+
+def embedding_insert(spark, sf_dir):
+    """Half of the vectors are there; all are inserted twice, with zeros that must not replace what is there."""
+    every = spaced_embeddings(spark, sf_dir)
+    zeros = every.withColumn("embedding", F.transform("embedding", lambda x: F.lit(0.0).cast("float")))
+    found = views.inserted(every.where("chunk_id % 2 = 0"), zeros.unionByName(zeros), 64)
+    return found.select("chunk_id", rounded(F.element_at("embedding", 2).cast("double")).alias("second"))
+
+
+def member_arrays(spark, sf_dir):
+    return views.member_arrays(chunk_embeddings(spark, sf_dir)).select("cluster_id", F.array_join(F.col("chunk_ids").cast("array<string>"), ",").alias("members"))
+
+
+def event_jobs(spark, sf_dir):
+    """Events as jobs: the type gives state and priority, the user the key."""
+    kind = F.col("event_type")
+    state = F.when(kind == "view", "queued").when(kind == "click", "running").otherwise("done")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("user_id").cast("string").alias("dedupe_key"), state.alias("state"), (F.col("user_id") % 3).cast("int").alias("priority"), F.col("ts").cast("timestamp").alias("run_at"))
+
+
+def scalar_counts(spark, sf_dir):
+    return views.counts(parts(spark, sf_dir), table(spark, sf_dir, "orders"), spaced_embeddings(spark, sf_dir), event_jobs(spark, sf_dir), 1, "Brand#11")
+
+
+def next_jobs(spark, sf_dir):
+    return views.next_jobs(event_jobs(spark, sf_dir), F.lit("2024-01-15 00:00:00").cast("timestamp"), 25).select("job_id", "priority")
+
+
+def debounced_jobs(spark, sf_dir):
+    """The later half of the events against the first."""
+    jobs = event_jobs(spark, sf_dir)
+    day = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    found = views.debounced(jobs.where(F.col("run_at") < day), jobs.where(F.col("run_at") >= day).withColumn("dedupe_key", F.concat("dedupe_key", F.when(F.col("priority") == 0, "x").otherwise(""))))
+    return found.select("job_id", "dedupe_key")
+
+
+def backpressure(spark, sf_dir):
+    jobs = event_jobs(spark, sf_dir)
+    return views.accepts(jobs).unionAll(views.accepts(jobs, 10))
+
+
+def login_rate(spark, sf_dir):
+    tries = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("key"), F.col("ts").cast("timestamp").alias("at"))
+    return views.over_rate(tries, 2, 3600).select("key", F.date_format("window", "yyyy-MM-dd HH:mm:ss").alias("window"), "n", "allowed")
+
+
+def ask_history(spark, sf_dir):
+    """Users' turns as questions: half are there, the others are asked now."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0").select(F.col("conv_id").alias("question_id"), (F.col("conv_id") % 3).cast("string").alias("principal"), F.col("text").alias("question"), F.lit(None).cast("string").alias("answer"))
+    old = views.asked(None, turns.where("conv_id % 2 = 0"), F.lit("2024-01-01 00:00:00"))
+    return views.ask_history(views.asked(old, turns.where("conv_id % 2 = 1"), F.lit("2024-02-01 00:00:00")), "1", 30).select("question_id", "principal", F.md5("question").alias("question_md5"))
+
+
+def entity_detail(spark, sf_dir):
+    """A part's neighbours and documents, an order being both chunk and document."""
+    own = order_mentions(spark, sf_dir).withColumn("document_id", F.col("chunk_id"))
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"))
+    found = views.entity_detail(parts(spark, sf_dir), order_edges(spark, sf_dir), own, docs, 11)
+    return (
+        found["entity"].select(F.lit("entity").alias("what"), F.col("entity_id").alias("id"))
+        .unionAll(found["neighbours"].select(F.lit("neighbour"), "entity_id"))
+        .unionAll(found["documents"].select(F.lit("document"), "document_id"))
+    )
+
+
+def cluster_detail(spark, sf_dir):
+    """A label's members by a made-up similarity, documents as their chunks."""
+    members = chunk_embeddings(spark, sf_dir).select("cluster_id", "chunk_id", (1 / (1 + F.col("chunk_id"))).alias("similarity"))
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return views.cluster_detail(clusters.listed(label_centroids(spark, sf_dir)[1]), members, chunks, "3")["members"].select("chunk_id", "excerpt")
+
+
+def insight_detail(spark, sf_dir):
+    """A conversation as an insight, its turns as evidence."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("turn").alias("seq"), "text")
+    cards = turns.select(F.col("document_id").alias("insight_id")).distinct()
+    return views.insight_detail(cards, turns.select(F.col("document_id").alias("insight_id"), "chunk_id"), turns, 2)["evidence"].select("chunk_id", "seq", "excerpt")
+
+
+def filtered_graph(spark, sf_dir):
+    """The strong edges among two brands, and what a part is linked to there."""
+    shown = views.filtered_graph(parts(spark, sf_dir), order_edges(spark, sf_dir), 0.7, ["Brand#11", "Brand#12", "Brand#13"])
+    return shown["edges"].select("src_id", "dst_id", rounded("strength").alias("strength"))
+
+
+def shown_neighbours(spark, sf_dir):
+    return views.neighbours_in(order_edges(spark, sf_dir), 9).select("neighbour", "rel", rounded("strength").alias("strength"))
+
+
+def cluster_graph_nodes(spark, sf_dir):
+    members = table(spark, sf_dir, "orders").where("o_custkey = 1 or o_custkey = 4").select(F.lit("c").alias("cluster_id"), F.col("o_orderkey").alias("chunk_id"))
+    return graph.cluster_graph(members, order_mentions(spark, sf_dir), parts(spark, sf_dir), order_edges(spark, sf_dir), F.lit("c"))["nodes"].select("entity_id", "weight")
+
+
+def mention_recount(spark, sf_dir):
+    return entities.recounted(parts(spark, sf_dir), order_mentions(spark, sf_dir).where("chunk_id % 2 = 0")).select("entity_id", "mention_count")
+
+
+def cluster_members(spark, sf_dir):
+    members = chunk_embeddings(spark, sf_dir).select("cluster_id", "chunk_id", (F.col("chunk_id") % 7).cast("double").alias("similarity"))
+    return clusters.members_of(members, F.lit("2"), 25).select("chunk_id", "similarity")
+
+
+def declared_labels(spark, sf_dir):
+    """Declared types of documents whose texts say nothing else."""
+    types = F.array(*map(F.lit, ("text/plain", "application/json", "Text/CSV; charset=utf-8", "text/x-markdown", "application/jsonl", "image/odd", "application/xhtml+xml")))
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(types, (F.col("o_orderkey") % 7 + 1).cast("int")).alias("declared"))
+    return docs.select("o_orderkey", sniff.text_label(F.lit("plain words alone"), F.col("declared")).alias("label"))
+
+
+def csv_records(spark, sf_dir):
+    """The nations of a region as CSV with spaces and a surplus field."""
+    line = F.concat_ws(" , ", F.col("n_nationkey").cast("string"), "n_name", F.lit("more"))
+    texts = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("document_id")).agg(F.concat(F.lit("key , name\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("text"))
+    chunks, _ = normalize.normalize(texts.withColumn("label", F.lit("csv")))
+    return chunks.select(F.col("document_id").cast("int").alias("region"), "text")
+
+
+def ndjson_records(spark, sf_dir):
+    """Suppliers as JSON lines, one line in each document broken and one blank."""
+    line = F.concat(F.lit('{"s": '), F.col("s_suppkey").cast("string"), F.lit(', "n": {"b": '), F.col("s_nationkey").cast("string"), F.lit(', "a": [1, null, true]}}'))
+    texts = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("document_id")).agg(F.concat(F.lit("{broken\n \n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("text"))
+    chunks, _ = normalize.normalize(texts.withColumn("label", F.lit("ndjson")))
+    return chunks.select("text")
+
+
+def markdown_titles(spark, sf_dir):
+    said = F.concat(F.lit("intro\n #none\n"), F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("  # "), F.col("p_name"), F.lit("  \n"))), F.lit("text"))
+    _, outcome = normalize.normalize(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("document_id"), F.lit("markdown").alias("label"), said.alias("text")))
+    return outcome.select(F.col("document_id").cast("long").alias("p_partkey"), "title", "n_chunks")
+
+
+def unreadable_formats(spark, sf_dir):
+    """Signatures of binary formats before a part's name: the label, and what becomes of the document."""
+    start = F.element_at(F.array(*map(F.lit, ("255044462D", "89504E470D0A1A0A", "504B0304", "FFD8FF", "20"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    raw = F.concat(F.unhex(start), F.encode("p_name", "UTF-8"), F.unhex(F.lit("FF")))
+    admitted = ingest.admit(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), raw.alias("raw")).withColumn("raw", F.concat("raw", F.encode(F.col("item").cast("string"), "UTF-8"))))
+    docs = ingest.documents(admitted)
+    _, outcome = normalize.normalize(docs)
+    return docs.drop("status").join(outcome, "document_id").select(F.col("item").alias("p_partkey"), "label", "media_type", outcome["status"])
+
+
+def known_contents(spark, sf_dir):
+    """Documents against the contents of those with an even id."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.encode("text", "UTF-8").alias("raw"))
+    there = items.where("item % 2 = 0").select(text.content_hash(F.col("raw")).alias("content_hash"))
+    return ingest.admit(items, there).select(F.col("item").alias("doc_id"), "outcome")
+
+
+def stored_contents(spark, sf_dir):
+    """Contents stored in two goes and read back against their hashes."""
+    path = f"{shared_dir(spark)}/contents-{uuid.uuid4().hex}"
+    items = ingest.admit(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.encode("text", "UTF-8").alias("raw")))
+    ingest.store(items.where("item < 100"), path)
+    ingest.store(items, path)
+    return ingest.read_verified(spark, path).select("content_hash", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+def processed_documents(spark, sf_dir):
+    """Orders as documents that become ready, with titles and times set where absent."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("title"), F.lit(None).cast("timestamp").alias("processed_at"))
+    named = orders.withColumn("title", text.set_if_absent(F.col("title"), F.lit("untitled")))
+    ready = ingest.transition(named.where("o_orderkey % 3 = 0"), "ready", F.lit("2024-03-01 00:00:00"), True)
+    busy = ingest.transition(named.where("o_orderkey % 3 <> 0"), "processing", F.lit("2024-03-01 00:00:00"))
+    return ready.unionByName(busy).select("o_orderkey", "title", "status", F.date_format("processed_at", "yyyy-MM-dd").alias("processed"))
+
+
+def collected_clusters(spark, sf_dir):
+    members = chunk_embeddings(spark, sf_dir).select("cluster_id", "chunk_id")
+    chunks = members.select("chunk_id", F.col("chunk_id").alias("document_id"))
+    meta = F.when(F.col("chunk_id") % 3 == 0, '{"collected": true, "x": 1}').when(F.col("chunk_id") % 4 == 0, '{"quarry": null}').when(F.col("chunk_id") % 5 == 0, '{"other": 1}')
+    return clusters.self_collected(members, chunks, members.select(F.col("chunk_id").alias("document_id"), meta.alias("meta")))
+
+
+def dirty_clusters(spark, sf_dir):
+    """Clusters that gain the vectors of odd ids, and which of them are due."""
+    base = chunk_embeddings(spark, sf_dir).select("cluster_id").distinct().withColumn("dirty_count", F.lit(1).cast("long"))
+    return clusters.due(clusters.dirtied(base, chunk_embeddings(spark, sf_dir).where("chunk_id % 2 = 1")), 20)
+
+
+def value_lookup(spark, sf_dir):
+    """A part by its name in capitals."""
+    rows = parts(spark, sf_dir)
+    name = rows.orderBy("entity_id").first()["value"]
+    return entities.lookup(rows, name.upper()).select("value")
+
+
+def hit_texts(spark, sf_dir):
+    """The hits of a vector search with their texts and titles."""
+    near = search.vector_signal(chunk_embeddings(spark, sf_dir), query_vector(spark, sf_dir), 20)
+    hits = near.select("chunk_id", (1 / (1 + F.col("dist"))).alias("score"), F.lit(True).alias("semantic"), F.lit(False).alias("keyword"), F.col("dist").alias("distance"))
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.lit(0).alias("seq"), "text")
+    titles = docs.select(F.col("source").alias("document_id")).distinct().withColumn("title", F.upper("document_id"))
+    return search.with_texts(hits, chunks, titles).select("chunk_id", "title", rounded("score").alias("score"), F.md5("text").alias("text_md5"))
+
+
+def explained_pair(spark, sf_dir):
+    """Why two parts of one order correlate."""
+    pair = [r[0] for r in order_mentions(spark, sf_dir).where("chunk_id = 1").select("entity_id").distinct().orderBy("entity_id").limit(2).collect()]
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_orderkey").alias("document_id"), F.col("o_orderpriority").alias("text"))
+    found = graph.explain(parts(spark, sf_dir), order_edges(spark, sf_dir), order_mentions(spark, sf_dir), docs, chunk_embeddings(spark, sf_dir).drop("cluster_id"), pair[0], pair[-1])
+    return found["links"].select(F.lit("link").alias("what"), "method").unionAll(found["shared"].select(F.lit("shared"), F.col("chunk_id").cast("string"))).unionAll(found["samples"].select(F.lit("sample"), F.col("chunk_id").cast("string")))
+
+
+def insight_evidence(spark, sf_dir):
+    """The live insights of clusters of events, after some were replaced and one was dismissed."""
+    rows = table(spark, sf_dir, "events").where("event_id < 300").select(F.col("event_id").alias("insight_id"), (F.col("event_id") % 20).alias("cluster_id"), F.when(F.col("event_type") == "error", "dismissed").when(F.col("event_type") == "click", "superseded").otherwise("new").alias("status"), F.col("user_id").cast("string").alias("input_hash"), F.col("ts").alias("created_at"))
+    after = insights.superseded(rows, rows.where("cluster_id < 5").select("cluster_id"))
+    marked = insights.feedback(after, F.lit(7), "useful")
+    return insights.live_hashes(marked).select("cluster_id", "live_hash")
+
+
+def progress_events(spark, sf_dir):
+    """How often listeners are told what of the documents, by the entities that are found aside."""
+    items = ingest.admit(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.encode("text", "UTF-8").alias("raw")))
+    told = knowledge.events(knowledge.process(items)).where("type <> 'entities.extracted'")
+    return told.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def streamed_graph(spark, sf_dir):
+    """Documents through all stages in micro-batches, and the graph of the tables that they make, against one batch of all."""
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.encode("text", "UTF-8").alias("raw"))
+    docs.repartitionByRange(4, "item").write.parquet(f"{path}/in")
+    items = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    embedder = HashingEmbedder(32)
+    knowledge.stream(items, f"{path}/out", f"{path}/checkpoint", embedder=embedder).awaitTermination()
+    stream, batch = knowledge.tables(spark, f"{path}/out"), knowledge.process(ingest.admit(docs))
+    whole = batch | {"embeddings": knowledge.embedded(batch, embedder)}
+    vectors = {n: t["embeddings"].select("chunk_id", F.xxhash64("embedding").alias("h")) for n, t in (("stream", stream), ("batch", whole))}
+
+    def same(a: DataFrame, b: DataFrame) -> bool:
+        return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+    linked = knowledge.correlate(stream)
+    row = (
+        stream["documents"].count(), same(stream["chunks"].select("chunk_id", "text"), batch["chunks"].select("chunk_id", "text")), same(vectors["stream"], vectors["batch"]),
+        same(knowledge.graph(stream["mentions"])["entities"].select("kind", "value", "mention_count"), knowledge.graph(batch["mentions"])["entities"].select("kind", "value", "mention_count")),
+        stream["members"].count() == stream["embeddings"].count(), not linked.where("rel = 'similar'").isEmpty(),
+    )
+    return spark.createDataFrame([row], "n_documents long, same_chunks boolean, same_vectors boolean, same_entities boolean, clustered boolean, linked boolean")
+
+
 NAMES = (
     "doc_exact_dedup ingest_bulk text_clean log_windows sniff_labels record_text html_visible_text prose_chunks earliest_date refang ioc_mentions ioc_spans entity_rollup"
     " cooccurrence_docs cooccurrence_orders cooccurrence_touching edge_strength degree graph_nodes graph_edges cluster_graph neighborhood pair_links common_neighbors shared_chunks temporal_edges"
     " missing_embeddings embedding_progress knn_topk similar_edges entity_embeddings mean_vectors unit_vectors centroid_nearest representatives cluster_list driving_pair cluster_assign"
     " density_clusters stable_ids louvain_communities community_weights bridges cluster_entities vector_search keyword_search hybrid_search ask_gate lexical_search citation_leash insight_list"
-    " input_signatures keyset_page substring_filter request_order retry_backoff stream_equivalence"
+    " input_signatures keyset_page substring_filter request_order retry_backoff stream_equivalence document_chunks point_lookups chunk_cluster space_vectors embedding_insert member_arrays scalar_counts"
+    " next_jobs debounced_jobs backpressure login_rate ask_history entity_detail cluster_detail insight_detail filtered_graph shown_neighbours cluster_graph_nodes mention_recount cluster_members"
+    " declared_labels csv_records ndjson_records markdown_titles unreadable_formats known_contents stored_contents processed_documents collected_clusters dirty_clusters value_lookup hit_texts"
+    " explained_pair insight_evidence progress_events streamed_graph"
 ).split()

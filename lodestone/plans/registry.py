@@ -150,5 +150,52 @@ def oracle_sql() -> dict[str, str]:
         "substring_filter": f"WITH {EDGES} SELECT entity_id, value, mention_count FROM ents WHERE value ILIKE '%d_w%' ORDER BY mention_count DESC, entity_id LIMIT 200",
         "request_order": "SELECT doc_id, n_chars FROM documents WHERE doc_id IN (42, 7, 99, 0)",
         "retry_backoff": "SELECT i AS attempts, least(5 * pow(2, least(least(greatest(i, 1), 20) - 1, 12)), 600)::BIGINT AS delay_secs FROM range(0, 31) r(i)",
+        "document_chunks": "SELECT turn AS seq, role, md5(text) AS text_md5 FROM conversations WHERE conv_id = 1",
+        "point_lookups": "SELECT 'document' AS what, doc_id AS id FROM documents WHERE doc_id = 42 UNION ALL SELECT 'entity', p_partkey FROM part WHERE p_partkey = 7",
+        "chunk_cluster": "SELECT label::VARCHAR AS cluster_id FROM embeddings WHERE vec_id = 3",
+        "space_vectors": "SELECT vec_id AS chunk_id, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings UNION ALL SELECT -5, round(embedding[1]::DOUBLE, 6) FROM embeddings WHERE vec_id = 5",
+        "embedding_insert": "SELECT vec_id AS chunk_id, CASE WHEN vec_id % 2 = 0 THEN round(embedding[2]::DOUBLE, 6) ELSE 0.0 END AS second FROM embeddings",
+        "member_arrays": "SELECT label::VARCHAR AS cluster_id, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS members FROM embeddings GROUP BY 1",
+        "scalar_counts": "SELECT (SELECT count(*) FROM part WHERE p_brand = 'Brand#11') AS n_entities, (SELECT count(*) FROM embeddings) AS n_embedded, (SELECT count(*) FROM orders) AS n_chunks, (SELECT count(*) FROM events WHERE event_type = 'view') AS n_queued",
+        "next_jobs": "SELECT event_id AS job_id, (user_id % 3)::INT AS priority FROM events WHERE event_type = 'view' AND ts <= TIMESTAMP '2024-01-15 00:00:00' ORDER BY user_id % 3 DESC, ts, event_id LIMIT 25",
+        "debounced_jobs": """WITH j AS (SELECT event_id AS job_id, user_id::VARCHAR AS k, user_id % 3 AS p, ts, event_type IN ('view', 'click') AS busy FROM events),
+            old AS (SELECT * FROM j WHERE ts < TIMESTAMP '2024-01-02 00:00:00'), new AS (SELECT job_id, k || CASE WHEN p = 0 THEN 'x' ELSE '' END AS k, ts FROM j WHERE ts >= TIMESTAMP '2024-01-02 00:00:00'),
+            first AS (SELECT job_id, k FROM new QUALIFY row_number() OVER (PARTITION BY k ORDER BY ts, job_id) = 1)
+            SELECT job_id, k AS dedupe_key FROM old UNION ALL SELECT job_id, k FROM first WHERE k NOT IN (SELECT k FROM old WHERE busy)""",
+        "backpressure": "SELECT count(*) AS n_queued, count(*) <= 200000 AS accepts FROM events WHERE event_type = 'view' UNION ALL SELECT count(*), count(*) <= 10 FROM events WHERE event_type = 'view'",
+        "login_rate": "SELECT user_id % 10 AS key, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS \"window\", count(*) AS n, count(*) <= 2 AS allowed FROM events GROUP BY 1, 2",
+        "ask_history": "SELECT conv_id AS question_id, '1' AS principal, md5(text) AS question_md5 FROM conversations WHERE role = 'user' AND turn = 0 AND conv_id % 3 = 1 ORDER BY conv_id % 2 DESC, conv_id DESC LIMIT 30",
+        "entity_detail": f"""WITH {EDGES}, nb AS (SELECT CASE WHEN src_id = 11 THEN dst_id ELSE src_id END AS entity_id, source_count, strength FROM edges WHERE 11 IN (src_id, dst_id)),
+            near AS (SELECT entity_id FROM nb JOIN ents USING (entity_id) ORDER BY strength DESC, source_count * ln(1 + (SELECT count(*) FROM ents) / greatest(mention_count, 1)) DESC, entity_id LIMIT 50),
+            docs AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_partkey = 11 ORDER BY id DESC LIMIT 50)
+            SELECT 'entity' AS what, 11::BIGINT AS id UNION ALL SELECT 'neighbour', entity_id FROM near UNION ALL SELECT 'document', id FROM docs""",
+        "cluster_detail": "SELECT doc_id AS chunk_id, substr(text, 1, 200) AS excerpt FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 100)",
+        "insight_detail": "SELECT conv_id * 1000 + turn AS chunk_id, turn AS seq, substr(text, 1, 400) AS excerpt FROM conversations WHERE conv_id = 2",
+        "filtered_graph": f"WITH {EDGES}, shown AS (SELECT p_partkey FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13')) SELECT src_id, dst_id, {strength} AS strength FROM edges WHERE strength >= 0.7 AND src_id IN (FROM shown) AND dst_id IN (FROM shown)",
+        "shown_neighbours": f"WITH {EDGES} SELECT CASE WHEN src_id = 9 THEN dst_id ELSE src_id END AS neighbour, 'co_occurs' AS rel, {strength} AS strength FROM edges WHERE 9 IN (src_id, dst_id)",
+        "cluster_graph_nodes": "SELECT l_partkey AS entity_id, count(*) AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey IN (1, 4) GROUP BY 1 ORDER BY weight DESC, entity_id LIMIT 300",
+        "mention_recount": "SELECT p_partkey AS entity_id, count(l_partkey) AS mention_count FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 2 = 0) ON l_partkey = p_partkey GROUP BY 1",
+        "cluster_members": "SELECT vec_id AS chunk_id, (vec_id % 7)::DOUBLE AS similarity FROM embeddings WHERE label = 2 ORDER BY 2 DESC, 1 LIMIT 25",
+        "declared_labels": "SELECT o_orderkey, ['text', 'json', 'csv', 'markdown', 'ndjson', 'text', 'html'][o_orderkey % 7 + 1] AS label FROM orders",
+        "csv_records": "SELECT n_regionkey AS region, 'key: ' || n_nationkey || '; name: ' || n_name AS text FROM nation",
+        "ndjson_records": "SELECT 'n: a=1, null, true, b=' || s_nationkey || '; s: ' || s_suppkey AS text FROM supplier",
+        "markdown_titles": "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN trim(p_name) END AS title, 1 AS n_chunks FROM part",
+        "unreadable_formats": """SELECT p_partkey, ['pdf', 'image', 'binary', 'image', 'text'][p_partkey % 5 + 1] AS label, ['application/pdf', 'image/png', 'application/zip', 'image/jpeg', 'text/plain'][p_partkey % 5 + 1] AS media_type,
+            CASE WHEN p_partkey % 5 = 4 THEN 'ready' ELSE 'failed' END AS status FROM part""",
+        "known_contents": "SELECT doc_id, CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) OR doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'deduped' ELSE 'accepted' END AS outcome FROM documents",
+        "stored_contents": "SELECT DISTINCT sha256(text) AS content_hash, strlen(text) AS n_bytes FROM documents",
+        "processed_documents": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'untitled' END AS title, CASE WHEN o_orderkey % 3 = 0 THEN 'ready' ELSE 'processing' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN '2024-03-01' END AS processed FROM orders",
+        "collected_clusters": "SELECT label::VARCHAR AS cluster_id, avg((vec_id % 3 = 0 OR vec_id % 4 = 0)::INT) >= 0.5 AS collected FROM embeddings GROUP BY 1",
+        "dirty_clusters": "SELECT label::VARCHAR AS cluster_id, 1 + count(*) FILTER (vec_id % 2 = 1) AS dirty_count FROM embeddings GROUP BY 1 HAVING 1 + count(*) FILTER (vec_id % 2 = 1) >= 20",
+        "value_lookup": "SELECT p_name AS value FROM part ORDER BY p_partkey LIMIT 1",
+        "hit_texts": f"WITH {SIGNALS} SELECT chunk_id, upper(source) AS title, round(1 / (1 + dist), 6) AS score, md5(text) AS text_md5 FROM vec JOIN documents ON doc_id = chunk_id WHERE rank <= 20",
+        "explained_pair": """WITH p AS (SELECT DISTINCT l_partkey AS e FROM lineitem WHERE l_orderkey = 1 ORDER BY e LIMIT 2),
+            met AS (SELECT l_orderkey AS c FROM lineitem WHERE l_partkey IN (SELECT e FROM p) GROUP BY 1 HAVING count(DISTINCT l_partkey) = 2 ORDER BY 1 LIMIT 3)
+            SELECT 'link' AS what, 'co_occurs' AS method UNION ALL SELECT 'shared', c::VARCHAR FROM met UNION ALL SELECT 'sample', min(l_orderkey)::VARCHAR FROM lineitem WHERE l_partkey IN (SELECT e FROM p) GROUP BY l_partkey""",
+        "insight_evidence": """WITH r AS (SELECT event_id, event_id % 20 AS c, event_type, user_id::VARCHAR AS h, ts FROM events WHERE event_id < 300),
+            s AS (SELECT *, CASE WHEN event_id = 7 THEN 'useful' WHEN event_type = 'error' THEN 'dismissed' WHEN event_type = 'click' OR c < 5 THEN 'superseded' ELSE 'new' END AS status FROM r)
+            SELECT c AS cluster_id, arg_max(h, (ts, event_id)) AS live_hash FROM s WHERE status <> 'superseded' GROUP BY 1""",
+        "progress_events": """WITH d AS (SELECT DISTINCT text FROM documents) SELECT 'document.processing' AS type, count(*) AS n FROM d UNION ALL SELECT 'document.ready', count(*) FROM d""",
+        "streamed_graph": "SELECT count(DISTINCT text) AS n_documents, true AS same_chunks, true AS same_vectors, true AS same_entities, true AS clustered, true AS linked FROM documents",
         "stream_equivalence": f"WITH {SNIFF}, d AS (SELECT DISTINCT sha256(text) AS content_hash, doc_id FROM documents) SELECT DISTINCT content_hash, CASE WHEN len(commas) >= 2 AND commas[1] >= 1 AND list_unique(commas) = 1 THEN 'csv' WHEN len(list_filter(lines[:40], lambda y: regexp_matches(y, '^\\s*(# |## |- |\\* |```|> )'))) > 0 THEN 'markdown' ELSE 'text' END AS label, 'ready' AS status FROM c JOIN d ON src = 'documents' AND id = doc_id",
     }

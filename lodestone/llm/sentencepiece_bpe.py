@@ -23,6 +23,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import numpy as np
@@ -35,6 +36,8 @@ from lodestone.llm.common import with_columns
 MARK = "▁"
 #: Words, and pairs of pieces, that each worker remembers; a full cache is emptied.
 CACHE = 200_000
+#: Characters up to which a text is merged by looking at all its pairs.
+SHORT = 64
 
 
 def _each_invalid_byte(error: UnicodeError) -> tuple[str, int]:
@@ -106,7 +109,9 @@ class Encoder:
         self.line_end = np.array([self.byte_id[10]], "<i4").tobytes() if not any("\n" in piece for piece in self.id) else None
 
     def merge(self, text: str) -> list[str]:
-        """Plain BPE: again and again the best-scored pair, the leftmost of equals."""
+        """Plain BPE: again and again the best-scored pair, the leftmost of equals; a long text by a heap of pairs."""
+        if len(text) > SHORT:
+            return self._merge_long(text)
         parts, score = list(text), self.score
         if len(parts) < 2:
             return parts
@@ -122,6 +127,29 @@ class Encoder:
                 pair[at] = score.get(parts[at] + parts[at + 1], none)
         return parts
 
+    def _merge_long(self, text: str) -> list[str]:
+        """The same in time n log n: parts know their neighbours, and pairs of parts that have changed since are passed over."""
+        parts: list[str | None] = list(text)
+        n, score = len(parts), self.score
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(-score[p], i, p) for i, p in enumerate(map("".join, zip(parts, parts[1:]))) if p in score]
+        heapify(heap)
+        while heap:
+            _, at, whole = heappop(heap)
+            second = after[at]
+            if parts[at] is None or second >= n or parts[at] + parts[second] != whole:
+                continue
+            parts[at], parts[second] = whole, None
+            after[at] = after[second]
+            if after[at] < n:
+                before[after[at]] = at
+            for left in (before[at], at):
+                if left >= 0 and after[left] < n:
+                    joined = parts[left] + parts[after[left]]
+                    if joined in score:
+                        heappush(heap, (-score[joined], left, joined))
+        return [p for p in parts if p is not None]
+
     def number(self, part: str) -> int:
         i = self.id.get(part)
         if i is None:

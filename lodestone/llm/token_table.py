@@ -5,8 +5,9 @@ A file holds one contiguous range of keys:
     block*  index  bloom  footer
 
 and every section ends in the byte 0x0A, so that Spark's own text writer, with
-its commit protocol and on any file system, writes the files section by section.
-All numbers are little-endian.
+its commit protocol and on any file system, writes the files: a table is one row,
+and every row gets a file of its own, of ``SHARD_BYTES`` whatever the size of the
+corpus and the number of tasks.  All numbers are little-endian.
 
   block   entries in key order: varint shared, varint rest, rest of the key,
           varint number of ids, ids of 2 or 4 bytes; `shared` counts the bytes
@@ -43,8 +44,10 @@ FOOTER = struct.Struct("<8sHHQQQQQQ")  # magic, version, width, documents, ids,
 ENTRY = struct.Struct("<QQQIH")
 BLOCK_BYTES = 64 * 1024
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
-#: Input bytes (as stored) that go to one file.
-SHARD_BYTES = 8 * 2**20
+#: Bytes of a file, and of input (as stored) for each task up to MOST_TASKS of them; beyond it tasks write more files.
+SHARD_BYTES, MOST_TASKS = 8 * 2**20, 100_000
+#: Files up to which their first numbers (some 24 bytes each) are broadcast; beyond it they are joined.
+BROADCAST_ROWS = 1_000_000
 #: Words whose ids a worker remembers; a full cache is emptied.
 CACHE = 1_000_000
 
@@ -261,39 +264,50 @@ def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: st
     files = max(1, -(-int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // SHARD_BYTES))
     order = ["id", "h", "row"]
     keyed = rows.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
-    ranged = keyed.repartitionByRange(min(files, 100_000), *order).sortWithinPartitions(*order).select("id", "text")
+    ranged = keyed.repartitionByRange(min(files, MOST_TASKS), *order).sortWithinPartitions(*order).select("id", "text")
 
     def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(tokenizer_path)
-        out = TableWriter(4 if enc.wide else 2)
+        width = 4 if enc.wide else 2
 
-        def rows_of(sections: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(sections, pa.binary())], names=["section"])
+        def table_of(out: TableWriter, sections: list[bytes]) -> pa.RecordBatch:
+            whole = b"".join([*sections, *out.finish()])
+            return pa.RecordBatch.from_arrays([pa.array([whole[:-1]], pa.binary())], names=["table"])
 
+        out, sections, made = TableWriter(width), [], 0
         for part in parts:
             for some in slices(part, 2 * 2**20):
-                full = [out.add(key_of(i), v) for i, v in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist(), end_id), strict=True)]
-                if full := [s for s in full if s is not None]:
-                    yield rows_of([s[:-1] for s in full])
-        yield rows_of([s[:-1] for s in out.finish()])
+                for i, v in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist(), end_id), strict=True):
+                    section = out.add(key_of(i), v)
+                    if section is not None:
+                        sections.append(section)
+                    if out.offset >= SHARD_BYTES:
+                        yield table_of(out, sections)
+                        out, sections, made = TableWriter(width), [], made + 1
+        if out.docs or not made:
+            yield table_of(out, sections)
 
-    ranged.mapInArrow(build, "section binary").select(F.col("section").cast("string").alias("value")).write.option("compression", "none").text(path)
+    ranged.mapInArrow(build, "table binary").select(F.col("table").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    """task, number, content of the files: which task wrote it, and its place among that task's."""
+    name = F.element_at(F.split("path", "/"), -1)
+    place = [F.regexp_extract(name, pattern, 1).cast("int").alias(n) for n, pattern in (("task", r"^part-(\d+)-"), ("number", r"-c(\d+)\."))]
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(*place, "content")
 
 
 def read(spark: SparkSession, path: str, make: Callable[[np.ndarray], object], kind: str, name: str) -> DataFrame:
     """doc_id, start, n_tokens and ``name``, which ``make`` computes from each document's ids as 32-bit numbers.
 
     ``start`` counts the ids of all documents before it, over all files: each
-    file is read once, and its number of ids, one short row per file, gives the
-    first number of the next.
+    file is read once, and the numbers of ids in the files before, of the same
+    task and of the tasks before (MOST_TASKS rows), give its first number.
     """
+
     def entries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for file, data in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+            for task, number, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
                 data = data.as_buffer()
                 if not data.size:
                     continue
@@ -301,13 +315,18 @@ def read(spark: SparkSession, path: str, make: Callable[[np.ndarray], object], k
                 for block in range(len(table.blocks)):
                     found = [(id_of(k), before, np.frombuffer(v, f"<u{table.width}").astype("<u4")) for k, before, v in table.entries(block)]
                     ids, before, values = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(ids)), pa.array(ids, pa.int64()), pa.array(before, pa.int64()), pa.array([len(v) for v in values], pa.int64()), pa.array([make(v) for v in values])], names=["file", "doc_id", "at", "n_tokens", name])
+                    columns = [pa.array([task] * len(ids), pa.int32()), pa.array([number] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(before, pa.int64()), pa.array([len(v) for v in values], pa.int64()), pa.array([make(v) for v in values])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["task", "number", "doc_id", "at", "n_tokens", name])
 
-    rows = _files(spark, path).mapInArrow(entries, f"file string, doc_id long, at long, n_tokens long, {name} {kind}")
+    rows = _files(spark, path).mapInArrow(entries, f"task int, number int, doc_id long, at long, n_tokens long, {name} {kind}")
     rows = materialize(rows, "token-rows")
-    counts = rows.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
-    bases = counts.select("file", (F.sum("ids").over(Window.orderBy("file")) - F.col("ids")).alias("base"))
-    return rows.join(F.broadcast(bases), "file").select("doc_id", (F.col("at") + F.col("base")).alias("start"), "n_tokens", name)
+    counts = rows.groupBy("task", "number").agg(F.sum("n_tokens").alias("ids"))
+    tasks = counts.groupBy("task").agg(F.sum("ids").alias("ids"))
+    of_task = tasks.select("task", (F.sum("ids").over(Window.orderBy("task")) - F.col("ids")).alias("of_task"))
+    in_task = F.sum("ids").over(Window.partitionBy("task").orderBy("number")) - F.col("ids")
+    bases = materialize(counts.withColumn("in_task", in_task).join(F.broadcast(of_task), "task").select("task", "number", (F.col("in_task") + F.col("of_task")).alias("base")), "token-bases")
+    held = F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases
+    return rows.join(held, ["task", "number"]).select("doc_id", (F.col("at") + F.col("base")).alias("start"), "n_tokens", name)
 
 
 def crc_of(ids: np.ndarray) -> int:

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import time
 import zlib
 
 import numpy as np
@@ -112,6 +113,22 @@ def test_encoding_and_decoding_are_the_librarys(library, text):
     assert enc.decode(ids) == library.decode(ids)
 
 
+@settings(max_examples=100, deadline=None)
+@given(text=st.text(alphabet=st.sampled_from(list("aeinrsthg  ▁")), min_size=60, max_size=400))
+def test_long_merges_are_the_short_ones(library, text):
+    enc, word = sentencepiece_bpe.encoder(PIECES), text.replace(" ", "▁")
+    assert "".join(enc._merge_long(word)) == word
+    spaced = "  " + text
+    assert enc.encode(spaced, eos=False) == library.encode(spaced)
+
+
+@pytest.mark.parametrize("text", ["  " + "a" * 100_000, " " * 50_000, "  " + "theingtion" * 10_000], ids=["letters", "spaces", "pieces"])
+def test_very_long_words_take_little_time(library, text):
+    start = time.process_time()
+    assert sentencepiece_bpe.encoder(PIECES).encode(text, eos=False) == library.encode(text)
+    assert time.process_time() - start < 20
+
+
 @settings(max_examples=300, deadline=None)
 @given(ids=st.lists(st.one_of(st.integers(0, 400), st.integers(28700, 31999)), max_size=12))
 def test_any_ids_decode_as_in_the_library(library, ids):
@@ -165,6 +182,24 @@ def test_tables_hold_everything_in_order(spark, documents, nothing, tmp_path):
     assert token_table.read(spark, empty, token_table.crc_of, "long", "crc").count() == 0
 
 
+def test_tasks_write_files_of_one_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_table, "MOST_TASKS", 2)
+    monkeypatch.setattr(token_table, "BROADCAST_ROWS", 0)
+    df = spark.range(60).select((F.col("id") % 50).alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), 60_000).alias("text"))
+    path = f"file://{tmp_path}/table"
+    token_table.write(df, path, WORDS, 2)
+    files = sorted(tmp_path.glob("table/part-*"))
+    assert len(files) > 2 and all(f.stat().st_size < 2 * token_table.SHARD_BYTES for f in files)
+    found = token_table.read(spark, path, len, "long", "size").orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == sorted(i % 50 for i in range(60))
+    start = 0
+    for r in found:
+        assert r["start"] == start and r["size"] == r["n_tokens"]
+        start += r["n_tokens"]
+    tables = [token_table.TableReader(f.read_bytes()) for f in files]
+    assert [len([x for t in tables for x in t.get(i)]) for i in (0, 9, 10, 49, 50)] == [2, 2, 1, 1, 0]
+
+
 def test_blocks_are_searched_and_filtered():
     writer, parts = token_table.TableWriter(2), []
     for i in range(-5000, 5000):

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import materialize, unused
 
 #: Template words in a window, words that an item needs, placeholders that a window may have.
 WINDOW, LEAST_WORDS, MOST_SLOTS = 8, 5, 4
@@ -103,8 +103,13 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return telling.join(counts, "item")
 
 
+def text_key(text: str) -> Column:
+    """Tells texts apart: two hashes of 64 bits."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """key, item, windows, needed, same_values: the items that each text (key: its hash) leaks.
+    """key, item, windows, needed, same_values: the items that each text (key: its hashes) leaks.
 
     Texts are hashed once, copies of a text are one; what is shuffled are the
     few windows that the benchmark has, and the texts that have any.
@@ -113,7 +118,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hashes = items.select("hash").distinct()
     n = hashes.count()
     sizes = sorted((r[0], r[1]) for r in items.select("size", "exact").distinct().collect())  # 2 (WINDOW - LEAST_WORDS + 1) at most
-    texts = docs.select(F.xxhash64("text").alias("key"), "text")
+    texts = docs.select(text_key("text").alias("key"), "text")
     exact = [_plain_hashes().alias("exact_hashes")] if any(e for _, e in sizes) else []
     prepared = templates(texts).select("key", _hashes("template").alias("hashes"), *exact)
     every = F.concat(*[_windows(F.col("exact_hashes" if e else "hashes"), k) for k, e in sizes]) if sizes else F.array().cast("array<struct<hash:bigint,at:int>>")
@@ -159,12 +164,12 @@ def leaking_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
     found = materialize(leaks(rows, benchmark), "leaks")
-    keyed = rows.select(F.col("__id").alias(id_col), F.xxhash64("text").alias("key"))
+    keyed = rows.select(F.col("__id").alias(id_col), text_key("text").alias("key"))
     return keyed.join(found, "key").select(id_col, F.col("item").alias("item_id"), "windows", "needed", "same_values")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows whose text leaks no item, unchanged."""
     found = materialize(leaks(docs.select(F.col(text_col).alias("text")), benchmark).select("key").distinct(), "leaking")
-    keyed = docs.withColumn("__key", F.xxhash64(text_col))
-    return keyed.join(found.withColumnRenamed("key", "__key"), "__key", "left_anti").drop("__key")
+    [key] = unused(docs, "key")
+    return docs.withColumn(key, text_key(text_col)).join(found.withColumnRenamed("key", key), key, "left_anti").drop(key)

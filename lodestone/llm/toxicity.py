@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import discard, fold, give_back, materialize, slices
+from lodestone.llm.common import discard, fold, give_back, materialize, slices, unused
 
 #: Characters per sequence; labelled documents used; discount; weight of the shared backoff in each class.
 ORDER, SAMPLE, DISCOUNT, PRIOR = 5, 20_000, 0.75, 5.0
 #: Words that a worker remembers at once.
 CACHE = 300_000
+#: Sequences' beginnings up to which those of the model (some 20 bytes each) are broadcast; beyond it they are joined.
+BROADCAST_ROWS = 1_000_000
 EDGE = ".,;:!?|*$%&#<>\"'()[]{}"
 #: Marks of a word's start and end: control characters, which words don't have at their edges.
 BEGIN, FINISH = "\x02" * (ORDER - 1), "\x03"
@@ -233,12 +235,14 @@ def _shared_counts(docs: DataFrame, wanted: DataFrame) -> list[dict[str, int]]:
         levels = one if levels is None else levels.unionAll(one)
     suffixes = wanted.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(ORDER - 1)), lambda k: F.substr("s", F.lit(ORDER) - k + 1))).alias("s")).distinct()
     # contexts' totals need every continuation of a context that the model has
-    contexts = suffixes.select(F.expr("substring(s, 1, length(s) - 1)").alias("h")).distinct()
-    kept = levels.withColumn("h", F.expr("substring(s, 1, length(s) - 1)")).join(F.broadcast(contexts), "h", "left_semi").select("s", "n")
+    contexts = materialize(suffixes.select(F.expr("substring(s, 1, length(s) - 1)").alias("h")).distinct(), "contexts")
+    held = F.broadcast(contexts) if contexts.count() <= BROADCAST_ROWS else contexts
+    kept = levels.withColumn("h", F.expr("substring(s, 1, length(s) - 1)")).join(held, "h", "left_semi").select("s", "n")
     shared: list[dict[str, int]] = [{} for _ in range(ORDER)]
     for s, n in kept.toPandas().itertuples(index=False):
         shared[len(s)][s] = int(n)
     discard(everywhere)
+    discard(contexts)
     return shared
 
 
@@ -300,4 +304,5 @@ def add_scores(df: DataFrame, model: Model, text_col: str = "text", name: str =
 
 def reject_toxic(df: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows whose text scores below the threshold, unchanged."""
-    return add_scores(df, model, text_col, "__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
+    [name] = unused(df, "toxicity")
+    return add_scores(df, model, text_col, name).where(F.col(name) < threshold).drop(name)

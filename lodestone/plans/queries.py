@@ -137,6 +137,18 @@ def ioc_spans(spark, sf_dir):
     return indicators.mentions(docs).select("kind", "value", F.col("chunk_id").cast("long").alias("doc_id"), F.col("span.start").alias("start"), F.col("span.end").alias("end"))
 
 
+def ioc_kinds(spark, sf_dir):
+    """Every kind of indicator, some of them defanged, in a sentence about each event."""
+    i = F.col("event_id")
+    n = i.cast("string")
+    said = F.concat(
+        F.lit("see hxxps://www[.]host"), n, F.lit("[.]com/p?q="), n, F.lit("#f) from 10.0."), (i % 256).cast("string"), F.lit(".7 mac 00-1A-2B-3C-4D-5E and CVE-2024-"), F.lpad((i % 10_000).cast("string"), 4, "0"),
+        F.lit(" AS"), (i + 1).cast("string"), F.lit(" at 2001:db8::"), F.lower(F.hex(i % 4096 + 1)), F.lit(" or Bad[at]mail"), n, F.lit(".org "), F.md5(n), F.lit(" "), F.upper(F.sha1(n)), F.lit(" "), F.sha2(n, 256),
+    )
+    found = indicators.mentions(table(spark, sf_dir, "events").select(i.alias("chunk_id"), i.alias("document_id"), said.alias("text")))
+    return found.groupBy(F.col("chunk_id").cast("long").alias("event_id"), "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def entity_rollup(spark, sf_dir):
     found = doc_mentions(spark, sf_dir).withColumnRenamed("raw", "raw_surface")
     return entities.rollup(found, ["chunk_id", "raw_surface"]).select("kind", "value", "display_value", "mention_count")
@@ -717,5 +729,5 @@ NAMES = (
     " input_signatures keyset_page substring_filter request_order retry_backoff stream_equivalence document_chunks point_lookups chunk_cluster space_vectors embedding_insert member_arrays scalar_counts"
     " next_jobs debounced_jobs backpressure login_rate ask_history entity_detail cluster_detail insight_detail filtered_graph shown_neighbours cluster_graph_nodes mention_recount cluster_members"
     " declared_labels csv_records ndjson_records markdown_titles unreadable_formats known_contents stored_contents processed_documents collected_clusters dirty_clusters value_lookup hit_texts"
-    " explained_pair insight_evidence progress_events streamed_graph"
+    " explained_pair insight_evidence progress_events streamed_graph ioc_kinds"
 ).split()

@@ -195,6 +195,12 @@ def oracle_sql() -> dict[str, str]:
         "insight_evidence": """WITH r AS (SELECT event_id, event_id % 20 AS c, event_type, user_id::VARCHAR AS h, ts FROM events WHERE event_id < 300),
             s AS (SELECT *, CASE WHEN event_id = 7 THEN 'useful' WHEN event_type = 'error' THEN 'dismissed' WHEN event_type = 'click' OR c < 5 THEN 'superseded' ELSE 'new' END AS status FROM r)
             SELECT c AS cluster_id, arg_max(h, (ts, event_id)) AS live_hash FROM s WHERE status <> 'superseded' GROUP BY 1""",
+        "ioc_kinds": """WITH e AS (SELECT event_id AS i, event_id::VARCHAR AS n FROM events), v AS (
+            SELECT i, 'url' AS kind, 'https://www.host' || n || '.com/p?q=' || n AS value FROM e UNION ALL SELECT i, 'domain', 'host' || n || '.com' FROM e UNION ALL SELECT i, 'domain', 'mail' || n || '.org' FROM e
+            UNION ALL SELECT i, 'email', 'bad@mail' || n || '.org' FROM e UNION ALL SELECT i, 'ip', '10.0.' || (i % 256) || '.7' FROM e UNION ALL SELECT i, 'mac', '00:1a:2b:3c:4d:5e' FROM e
+            UNION ALL SELECT i, 'cve', 'CVE-2024-' || lpad((i % 10000)::VARCHAR, 4, '0') FROM e UNION ALL SELECT i, 'asn', 'AS' || (i + 1) FROM e UNION ALL SELECT i, 'ipv6', '2001:db8::' || lower(to_hex(i % 4096 + 1)) FROM e
+            UNION ALL SELECT i, 'md5', md5(n) FROM e UNION ALL SELECT i, 'sha1', sha1(n) FROM e UNION ALL SELECT i, 'sha256', sha256(n) FROM e)
+            SELECT i AS event_id, kind, value, 1::BIGINT AS n FROM v""",
         "progress_events": """WITH d AS (SELECT DISTINCT text FROM documents) SELECT 'document.processing' AS type, count(*) AS n FROM d UNION ALL SELECT 'document.ready', count(*) FROM d""",
         "streamed_graph": "SELECT count(DISTINCT text) AS n_documents, true AS same_chunks, true AS same_vectors, true AS same_entities, true AS clustered, true AS linked FROM documents",
         "stream_equivalence": f"WITH {SNIFF}, d AS (SELECT DISTINCT sha256(text) AS content_hash, doc_id FROM documents) SELECT DISTINCT content_hash, CASE WHEN len(commas) >= 2 AND commas[1] >= 1 AND list_unique(commas) = 1 THEN 'csv' WHEN len(list_filter(lines[:40], lambda y: regexp_matches(y, '^\\s*(# |## |- |\\* |```|> )'))) > 0 THEN 'markdown' ELSE 'text' END AS label, 'ready' AS status FROM c JOIN d ON src = 'documents' AND id = doc_id",

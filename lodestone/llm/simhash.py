@@ -29,7 +29,7 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import bits_between, give_back, materialize, slices, with_columns
@@ -272,8 +272,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 # similar texts
 
-#: Words in a shingle; least hashes of them in a sketch.
-SHINGLE, SKETCH = 5, 256
+#: Words in a shingle; least hashes of them in a sketch; rounds of comparisons with the middle of a group before the rest is compared.
+SHINGLE, SKETCH, ROUNDS = 5, 256, 2
+#: Texts up to which the ids of those that are compared (8 bytes each) are broadcast.
+BROADCAST_ROWS = 1_000_000
 #: First size of each class of sets; a class ends at 1.25 times that, so sets alike by 0.8 are in one class or in neighbours.
 STARTS = [1]
 while STARTS[-1] < 2**40:
@@ -387,8 +389,24 @@ def _keyed(texts: DataFrame, levels: dict[int, int]) -> DataFrame:
     return texts.select("text").mapInArrow(run, "k long, digest long, n int")
 
 
+def parity(found: np.ndarray) -> bytes:
+    """A bit for each of at least four times as many places as hashes: whether an odd number of them falls there."""
+    bits = 1 << max(6, (4 * len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """At most the number of hashes that are in one of two sets only, by their parities."""
+    x, y = np.frombuffer(a, "u8"), np.frombuffer(b, "u8")
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (k, digest, n) sorted by key and digest: every set that shares a key with a lesser one, with the key's first."""
+    """Over rows (k, digest, n) sorted by key and digest: every set of a key that several share, with the key's first; the first with itself."""
     held = np.zeros((0, 3), np.int64)  # the first row of the last key, and its last
     for part in parts:
         rows = np.concatenate([held, np.column_stack([c.to_numpy().astype(np.int64) for c in part.columns])])
@@ -399,19 +417,44 @@ def _shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))
         other = np.flatnonzero(~fresh & (digest != np.concatenate([digest[:1], digest[:-1]])))
         other = other[other >= len(held)]
-        first = start[other]
-        columns = [key[other], digest[first], rows[first, 2], digest[other], rows[other, 2]]
+        second = other[digest[other - 1] == digest[start[other]]]
+        at, first = np.concatenate([other, start[second]]), np.concatenate([start[other], start[second]])
+        columns = [key[at], digest[first], rows[first, 2], digest[at], rows[at, 2]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "a", "n_a", "b", "n_b"])
         held = rows[sorted({int(start[-1]), len(rows) - 1})]
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs (a, b: digests) that are alike, by all their shingles."""
+def _likely(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b: digests) whose parities, some bytes for a word, don't tell them apart."""
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for whole in parts for x in slices(whole)):
+            most = (part.column(2).to_numpy() + part.column(3).to_numpy()).tolist()
+            kept = pa.array([9 * apart(x, y) <= n for x, y, n in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), most, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(kept), part.column(1).filter(kept)], names=["a", "b"])
+
+    for side in "ab":
+        pairs = pairs.join(prints.select(F.col("digest").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"parity_{side}")), side)
+    return pairs.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(compare, "a long, b long")
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, prints: DataFrame) -> DataFrame:
+    """digest, shingles (the hashes in order, 8 bytes each) of the wanted digests; up to BROADCAST_ROWS of them are sent to the texts, else texts are joined."""
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for whole in parts for x in slices(whole)):
             found = [shingles(t) for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["digest", "shingles"])
+        give_back()
+
+    ids = materialize(prints.join(wanted, "digest").select(F.col("rep").alias("id")).distinct(), "wanted")
+    few = ids.count() <= BROADCAST_ROWS
+    whole = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text").mapInArrow(sets, "digest long, shingles binary")
+    return materialize(whole.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b: digests) that are alike, by all the shingles of those that parities leave."""
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for whole in parts for x in slices(whole)):
@@ -419,15 +462,55 @@ def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame) -> DataFram
             kept = pa.array([alike(np.frombuffer(v, "u8"), np.frombuffer(w, "u8")) for v, w in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(0).filter(kept), part.column(1).filter(kept)], names=["a", "b"])
 
-    wanted = pairs.select(F.col("a").alias("digest")).unionAll(pairs.select("b")).distinct()
-    ids = prints.join(wanted, "digest").select(F.col("rep").alias("id")).distinct()
-    whole = texts.join(ids, "id", "left_semi").select("text").mapInArrow(sets, "digest long, shingles binary")
-    whole = materialize(whole.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
+    pairs = materialize(_likely(pairs, prints), "likely")
+    sets = _sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), prints)
     for side in "ab":
-        pairs = pairs.join(whole.select(F.col("digest").alias(side), F.col("shingles").alias(f"shingles_{side}")), side)
+        pairs = pairs.join(sets.select(F.col("digest").alias(side), F.col("shingles").alias(f"shingles_{side}")), side)
     return materialize(pairs.select("a", "b", "shingles_a", "shingles_b").mapInArrow(compare, "a long, b long"), "near")
 
 
+def _possible(n_a: Column, n_b: Column, at_a: Column | None = None, at_b: Column | None = None) -> Column:
+    """Whether sets of these sizes can be alike, if what is before these places in either is not in the other."""
+    if at_a is None:
+        return 5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)
+    return 9 * F.least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)
+
+
+def _rarest(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows (s, d, n, at): each member's rarest shingles that others have too, a fifth of its n and one more, with their places in order of rarity.
+
+    Any two sets alike by 0.8 have one of these in common.  A text's own edits are
+    its rarest shingles, and texts with many have no room for what all share.
+    """
+
+    def spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for whole in parts for x in slices(whole)):
+            found = [np.frombuffer(v, "i8") for v in part.column(1).to_pylist()]
+            sizes = [len(f) for f in found]
+            digests = np.repeat(part.column(0).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.zeros(0, "i8")])), pa.array(digests), pa.array(np.repeat(sizes, sizes).astype("i4"))], names=["s", "d", "n"])
+
+    rows = materialize(sets.join(members.select(F.col("d").alias("digest")).distinct(), "digest", "left_semi").select("digest", "shingles").mapInArrow(spread, "s long, d long, n int"), "spread")
+    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    each = rows.join(common, "s").groupBy("d", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("f"))  # at most the shingles of one text
+    own = F.col("n") - F.size("f")
+    room = F.greatest(F.floor(F.col("n") / 5).cast("int") + 1 - own, F.lit(0))
+    placed = each.select("d", "n", own.alias("own"), F.posexplode(F.slice("f", F.lit(1), room)).alias("pos", "x"))
+    return materialize(placed.select("x.s", "d", "n", (F.col("own") + F.col("pos")).alias("at")), "rarest")
+
+
+def _joined(found: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` with the component c that the links found so far put each in."""
+    component = connected_components(found)
+    return members.drop("c").join(component, F.col("d") == F.col("node"), "left").withColumn("c", F.coalesce("component", "d")).drop("node", "component")
+
+
+def _open(members: DataFrame, key: str) -> DataFrame:
+    """The rows of keys whose members are in several components."""
+    several = members.groupBy(key).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select(key)
+    return members.join(several, key)
+
+
 def similar_links(texts: DataFrame, prints: DataFrame, levels: dict[int, int]) -> DataFrame:
     """Links (a, b: digests) between sets of shingles alike by 0.8, enough of them to connect all that are connected.
 
@@ -435,29 +518,44 @@ def similar_links(texts: DataFrame, prints: DataFrame, levels: dict[int, int]) -
     one of them only.  The hashes are cut into parts, by the larger set's class,
     so that it has shingles in more parts than that: some part then has the same
     shingles, one at least, in both, and they share its key.  First every set is
-    compared with the first of each of its keys.  Sets of a key that this did
-    not connect, which in a group of near copies are few, are compared two by two.
+    compared with the first of each of its keys.  Of the sets of a key that this
+    leaves in different components, up to HEAVY are compared two by two.  Those of larger
+    keys go on: two of them can be alike only if they share
+    one of their rarest shingles, and so late in either that few are before it.
+    Of each such shingle, every set is compared with the one that has the least
+    of its own, the middle of a group of near copies, ``ROUNDS`` times; then
+    those that still are in no component with it are compared with all others.
     """
     rows = _keyed(texts.where("id is not null"), levels)
     shared = rows.repartition("k").sortWithinPartitions("k", "digest").mapInArrow(_shared, "k long, a long, n_a long, b long, n_b long")
     shared = materialize(shared, "shared-keys")
-    possible = 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")
-    stars = materialize(shared.where(possible).select("a", "b").distinct(), "stars")
-    found = _verified(stars, texts, prints)
-    component = materialize(connected_components(found), "star-components")
-
-    crowded = shared.groupBy("k").agg(F.count(F.lit(1)).alias("others")).where("others > 1").select("k")
-    members = shared.join(crowded, "k")
-    members = members.select("k", F.col("b").alias("d"), F.col("n_b").alias("n")).unionAll(members.select("k", "a", "n_a").distinct())
-    members = members.join(component, F.col("d") == F.col("node"), "left").select("k", "d", "n", F.coalesce("component", "d").alias("c"))
-    members = materialize(members, "members")
-    open_keys = members.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("k")
-    members = materialize(members.join(open_keys, "k"), "open")
-    x = members.select("k", F.col("d").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    y = members.select("k", F.col("d").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    rest = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & possible).select("a", "b").distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    return found.unionAll(_verified(rest, texts, prints)) if rest.limit(1).count() else found
+    found = _verified(shared.where((F.col("a") != F.col("b")) & _possible(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct(), texts, prints)
+
+    held = shared.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 2")
+    members = materialize(_open(_joined(found, shared.select("k", F.col("b").alias("d"), F.col("n_b").alias("n"))).join(held, "k"), "k"), "members")
+    light = members.where(F.col("m") <= HEAVY)
+    x = light.select("k", F.col("d").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
+    y = light.select("k", F.col("d").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
+    pairs = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & _possible(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
+    found = found.unionAll(_verified(pairs, texts, prints))
+
+    crowded = members.where(F.col("m") > HEAVY).select("d").distinct()
+    if not crowded.limit(1).count():
+        return found
+    rarest, more = _rarest(_sets(texts, crowded.withColumnRenamed("d", "digest"), prints), crowded), None
+    for last in [*[False] * ROUNDS, True]:
+        if more is None or more.limit(1).count():
+            placed = materialize(_open(_joined(found, rarest), "s"), "placed")
+        middle = placed.groupBy("s").agg(F.min(F.struct("at", "d", "n", "c")).alias("m"))
+        outside = placed.join(middle, "s").where(F.col("c") != F.col("m.c")).select("s", F.col("d").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("c").alias("c_a"), "m")
+        if last:
+            others = placed.select(F.col("s").alias("t"), F.col("d").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("c").alias("c_b"))
+            met = outside.join(others, (F.col("s") == F.col("t")) & (F.col("c_a") != F.col("c_b")) & _possible(F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b")))
+        else:
+            met = outside.withColumns({"b": F.col("m.d"), "n_b": F.col("m.n"), "at_b": F.col("m.at")}).where(_possible(F.col("n_a"), F.col("n_b"), F.col("at_a"), F.col("at_b")))
+        more = _verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, prints)
+        found = found.unionAll(more)
+    return found
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -469,14 +567,16 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(texts: pa.Array) -> Iterator[pa.Array]:
         found = [shingles(t) for t in texts.to_pylist()]
         yield pa.array([_digest(f) for f in found], pa.int64())
+        yield pa.array([len(f) for f in found], pa.int64())
         yield pa.array([size_class(len(f)) for f in found], pa.int32())
         yield pa.array([level_of(f) if len(f) else 0 for f in found], pa.int32())
+        yield pa.array([parity(f) for f in found], pa.binary())
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marked = with_columns(texts, ["text"], {"digest": "long", "size_class": "int", "level": "int"}, run).select("id", "digest", "size_class", "level")
+    marked = with_columns(texts, ["text"], {"digest": "long", "n": "long", "size_class": "int", "level": "int", "parity": "binary"}, run).drop("text")
     marked = materialize(marked, "digests")
-    levels = {r[0]: r[1] for r in marked.where("size_class >= 0").groupBy("size_class").agg(F.max("level")).collect()}  # some hundred classes at most
-    prints = materialize(marked.groupBy("digest").agg(F.min("id").alias("rep")).where("rep is not null"), "distinct")
+    levels = {r[0]: r[1] for r in marked.where("n > 0").groupBy("size_class").agg(F.max("level")).collect()}  # some hundred classes at most
+    prints = materialize(marked.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("parity").alias("parity")).where("rep is not null"), "distinct")
     component = connected_components(similar_links(texts, prints, levels))
     named = prints.join(component, prints["digest"] == component["node"], "left").select("digest", "rep", F.coalesce("component", "digest").alias("root"))
     named = materialize(named, "named")

@@ -20,6 +20,7 @@ sequences only: elsewhere they cancel out of the ratio.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
@@ -151,16 +152,16 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What scoring needs: the table of ratios and the curve, or one score for all where a class has no documents."""
+    """What scoring needs: the pickled table of ratios and the curve, or one score for all where a class has no documents."""
 
-    def __init__(self, ratios: Ratios | None, curve: np.ndarray | None, prior: float):
+    def __init__(self, ratios: bytes | None, curve: np.ndarray | None, prior: float):
         self.ratios, self.curve, self.prior = ratios, curve, prior
 
     def scorer(self) -> Callable[[str | None], float]:
         """A function from texts to scores, with a memory of its own."""
         if self.ratios is None:
             return lambda text: self.prior
-        words = self.ratios.words()
+        words = pickle.loads(self.ratios).words()
 
         def score(text: str | None) -> float:
             whole, most = features(words, text)
@@ -226,8 +227,8 @@ def _all_sequences(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(find, "s string").distinct()
 
 
-def _shared_counts(docs: DataFrame, wanted: DataFrame) -> list[dict[str, int]]:
-    """Per order below ORDER: in how many contexts each wanted sequence is found over all documents."""
+def _shared_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """s, n for sequences below ORDER: in how many contexts each wanted one is found over all documents."""
     everywhere = materialize(_all_sequences(docs), "sequences")
     levels = None
     for order in range(1, ORDER):
@@ -237,13 +238,42 @@ def _shared_counts(docs: DataFrame, wanted: DataFrame) -> list[dict[str, int]]:
     # contexts' totals need every continuation of a context that the model has
     contexts = materialize(suffixes.select(F.expr("substring(s, 1, length(s) - 1)").alias("h")).distinct(), "contexts")
     held = F.broadcast(contexts) if contexts.count() <= BROADCAST_ROWS else contexts
-    kept = levels.withColumn("h", F.expr("substring(s, 1, length(s) - 1)")).join(held, "h", "left_semi").select("s", "n")
-    shared: list[dict[str, int]] = [{} for _ in range(ORDER)]
-    for s, n in kept.toPandas().itertuples(index=False):
-        shared[len(s)][s] = int(n)
+    kept = materialize(levels.withColumn("h", F.expr("substring(s, 1, length(s) - 1)")).join(held, "h", "left_semi").select("s", "n"), "shared-counts")
     discard(everywhere)
     discard(contexts)
-    return shared
+    return kept
+
+
+#: Documents by their halves that each of the three models is made from.
+HALVES = {"first": (0,), "second": (1,), "whole": (0, 1)}
+
+
+def _models(grams: DataFrame, shared: DataFrame) -> dict[str, bytes]:
+    """The pickled ratios of HALVES, made in a task from the sample's counts and the shared ones; the driver gets some MB."""
+
+    def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[tuple[int, int], list] = defaultdict(list)
+        low: list[dict[str, int]] = [{} for _ in range(ORDER)]
+        for part in parts:
+            for c, half, s, n in zip(*(x.to_pylist() for x in part.columns), strict=True):
+                if c < 0:
+                    low[len(s)][s] = n
+                else:
+                    own[c, half].append((s, n))
+        for name, halves in HALVES.items():
+            counts: list[dict[str, int]] = [defaultdict(int), defaultdict(int)]
+            for (c, half), rows in own.items():
+                if half in halves:
+                    for s, n in rows:
+                        counts[c][s] += n
+            data = pickle.dumps(KneserNey(counts, low).ratios())
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], names=["name", "data"])
+        own.clear()
+        give_back()
+
+    none = F.lit(-1).alias("c"), F.lit(-1).alias("half")
+    rows = grams.select("c", "half", "s", "n").unionByName(shared.select(*none, "s", "n"))
+    return {r["name"]: bytes(r["data"]) for r in rows.coalesce(1).mapInArrow(build, "name string, data binary").collect()}
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -256,33 +286,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = usable.withColumn("half", half.cast("int")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("c", "half", "text")
     grams = materialize(_sequence_counts(rows, ["c", "half"]), "grams")
-    counted = grams.toPandas()
-    shared = _shared_counts(docs.select("text"), grams.select("s").distinct())
-    discard(grams)
-
-    def model(halves: tuple[int, ...]) -> Ratios:
-        counts = []
-        for c in (0, 1):
-            own = counted[(counted["c"] == c) & counted["half"].isin(halves)].groupby("s")["n"].sum()
-            counts.append({s: int(n) for s, n in own.items()})
-        return KneserNey(counts, shared).ratios()
-
-    present = sorted(set(counted["c"].tolist()))
+    present = sorted(r[0] for r in grams.select("c").distinct().collect())
     if present != [0, 1]:
+        discard(grams)
         return Model(None, None, float(present[0]) if present else 0.0)
-    spark = docs.sparkSession
-    halves = spark.sparkContext.broadcast((model((1,)), model((0,))))  # each half is scored by the other
+    shared = _shared_counts(docs.select("text"), grams.select("s").distinct())
+    made = _models(grams, shared)
+    discard(grams)
+    discard(shared)
+    halves = docs.sparkSession.sparkContext.broadcast((made["second"], made["first"]))  # each half is scored by the other
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = [half.words() for half in halves.value]
+        words = [pickle.loads(half).words() for half in halves.value]
         for part in (x for whole in parts for x in slices(whole)):
             label, half, text = (c.to_pylist() for c in part.columns)
             found = [features(words[h], t) for h, t in zip(half, text, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found]), pa.array(label, pa.int32())], names=["whole", "most", "c"])
 
     seen = rows.mapInArrow(score, "whole double, most double, c int").toPandas()  # at most `sample` rows
-    halves.unpersist()
-    return Model(model((0, 1)), fit_curve(seen[["whole", "most"]].to_numpy(), seen["c"].to_numpy(float)), 0.0)
+    halves.destroy()
+    return Model(made["whole"], fit_curve(seen[["whole", "most"]].to_numpy(), seen["c"].to_numpy(float)), 0.0)
 
 
 def add_scores(df: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:

@@ -19,6 +19,7 @@ sequences only: elsewhere they cancel out of the ratio.
 
 from __future__ import annotations
 
+import gc
 import math
 import pickle
 from collections import Counter, defaultdict
@@ -35,7 +36,7 @@ from lodestone.llm.common import discard, fold, give_back, materialize, slices,
 #: Characters per sequence; labelled documents used; discount; weight of the shared backoff in each class.
 ORDER, SAMPLE, DISCOUNT, PRIOR = 5, 20_000, 0.75, 5.0
 #: Words that a worker remembers at once.
-CACHE = 300_000
+CACHE = 150_000
 #: Sequences' beginnings up to which those of the model (some 20 bytes each) are broadcast; beyond it they are joined.
 BROADCAST_ROWS = 1_000_000
 EDGE = ".,;:!?|*$%&#<>\"'()[]{}"
@@ -193,6 +194,7 @@ def _sequence_counts(df: DataFrame, keys: list[str]) -> DataFrame:
             if sum(map(len, words.values())) > CACHE:
                 yield from full()
         yield from full()
+        give_back()
 
     schema = ", ".join([*(f"{k} int" for k in keys), "s string", "n long"])
     return df.select(*keys, "text").mapInArrow(count, schema).groupBy(*keys, "s").agg(F.sum("n").alias("n"))
@@ -267,6 +269,9 @@ def _models(grams: DataFrame, shared: DataFrame) -> dict[str, bytes]:
                     for s, n in rows:
                         counts[c][s] += n
             data = pickle.dumps(KneserNey(counts, low).ratios())
+            del counts
+            gc.collect()
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], names=["name", "data"])
         own.clear()
         give_back()
@@ -302,6 +307,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             label, half, text = (c.to_pylist() for c in part.columns)
             found = [features(words[h], t) for h, t in zip(half, text, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found]), pa.array(label, pa.int32())], names=["whole", "most", "c"])
+        del words
+        give_back()
 
     seen = rows.mapInArrow(score, "whole double, most double, c int").toPandas()  # at most `sample` rows
     halves.destroy()

@@ -357,6 +357,12 @@ def part_keys(found: np.ndarray, of: int, level: int) -> np.ndarray:
     return np.add.reduceat(found, np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))) + np.uint64(of * GOLDEN % 2**64)
 
 
+def spare_keys(keys: int, n: int, of: int) -> int:
+    """How many more keys than one of class ``of`` a set of n hashes shares, at least, with any that is alike; sizes of the class end at 1.25 times its first."""
+    largest = min(5 * n // 4, max(STARTS[of] * 5 // 4, n))
+    return max(keys - (n + largest) // 9 - 1, 0)
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets in order have 0.8 of their union in common."""
     common = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
@@ -364,7 +370,11 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _keyed(texts: DataFrame, levels: dict[int, int]) -> DataFrame:
-    """Rows (k, digest, n): the keys of every set in its own class and, as the smaller one of a pair, in the next."""
+    """Rows (k, digest, n): the keys of every set in its own class and, as the smaller one of a pair, in the next.
+
+    Above the 32 bits of its size, n has a bit for the class and how many more keys
+    than one a set shares with any that is alike: of its parts, at most as many differ as hashes are in one of the two only.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of one task: copies give their keys once
@@ -381,12 +391,12 @@ def _keyed(texts: DataFrame, levels: dict[int, int]) -> DataFrame:
                     if of in levels:
                         keys.append(part_keys(found, of, levels[of]))
                         digests.append(np.full(len(keys[-1]), digest, np.int64))
-                        sizes.append(np.full(len(keys[-1]), len(found), np.int32))
+                        sizes.append(np.full(len(keys[-1]), len(found) | (of - own) << 32 | spare_keys(len(keys[-1]), len(found), of) << 33, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view("i8")), pa.array(np.concatenate(digests)), pa.array(np.concatenate(sizes))], names=["k", "digest", "n"])
         give_back()
 
-    return texts.select("text").mapInArrow(run, "k long, digest long, n int")
+    return texts.select("text").mapInArrow(run, "k long, digest long, n long")
 
 
 def parity(found: np.ndarray) -> bytes:
@@ -511,14 +521,42 @@ def _open(members: DataFrame, key: str) -> DataFrame:
     return members.join(several, key)
 
 
+def _simhash_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b: digests) of texts whose fingerprints are equal (with the first of them) or linked within two bits, and whose sizes allow it."""
+    rows = prints.where("n > 0").select("digest", "n", F.col("simhash").alias("fp"))
+    first = materialize(rows.groupBy("fp").agg(F.min(F.struct("digest", "n")).alias("f")).select("fp", F.col("f.digest").alias("rep"), F.col("f.n").alias("m")), "prints")
+    equal = rows.join(first, "fp").where((F.col("digest") != F.col("rep")) & _possible(F.col("n"), F.col("m"))).select(F.col("rep").alias("a"), F.col("digest").alias("b"))
+    sizes = first.select("rep", "m")
+    near = links(first.select("fp", "rep"))
+    near = near.join(sizes.select(F.col("rep").alias("a"), F.col("m").alias("n_a")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("m").alias("n_b")), "b")
+    return materialize(equal.unionAll(near.where(_possible(F.col("n_a"), F.col("n_b"))).select("a", "b")).distinct(), "simhash")
+
+
+def _shared_by(part: Column, m: DataFrame, shared: DataFrame, members: DataFrame) -> DataFrame:
+    """The members of keys without those that the rest of a set's keys make up for.
+
+    A set that must share ``less`` + 1 keys of a class with any that is alike does
+    without the ``less`` most frequent of its shared ones: of the keys that two alike sets share, the rarest is left in both.
+    """
+    wanted = members.select(F.col("d").alias("b")).distinct()
+    rows = shared.join(wanted, "b", "left_semi").join(m, "k").select("k", F.col("b").alias("d"), "m", part.alias("part"))
+    place = F.row_number().over(Window.partitionBy("d", F.col("part").bitwiseAND(1)).orderBy(F.desc("m"), F.desc("k")))
+    needed = rows.withColumn("place", place).where(F.col("place") > F.shiftright("part", 1)).select("k", "d")
+    return members.join(needed, ["k", "d"], "left_semi")
+
+
 def similar_links(texts: DataFrame, prints: DataFrame, levels: dict[int, int]) -> DataFrame:
     """Links (a, b: digests) between sets of shingles alike by 0.8, enough of them to connect all that are connected.
 
-    Sets of a and b shingles are alike if and only if at most (a + b) / 9 are in
+    SimHash fingerprints within two bits by the general pigeonhole principle
+    (``links``) are compared first, by all their shingles.  They can't find all that is
+    alike by 0.8, so the same principle goes on with the sets themselves:
+    sets of a and b shingles are alike if and only if at most (a + b) / 9 are in
     one of them only.  The hashes are cut into parts, by the larger set's class,
     so that it has shingles in more parts than that: some part then has the same
     shingles, one at least, in both, and they share its key.  First every set is
-    compared with the first of each of its keys.  Of the sets of a key that this
+    compared with the first of each of its keys.  Alike sets share more keys than one,
+    so each does without its most frequent ones (``_shared_by``).  Of the sets of a key that this
     leaves in different components, up to HEAVY are compared two by two.  Those of larger
     keys go on: two of them can be alike only if they share
     one of their rarest shingles, and so late in either that few are before it.
@@ -528,11 +566,16 @@ def similar_links(texts: DataFrame, prints: DataFrame, levels: dict[int, int]) -
     """
     rows = _keyed(texts.where("id is not null"), levels)
     shared = rows.repartition("k").sortWithinPartitions("k", "digest").mapInArrow(_shared, "k long, a long, n_a long, b long, n_b long")
-    shared = materialize(shared, "shared-keys")
-    found = _verified(shared.where((F.col("a") != F.col("b")) & _possible(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct(), texts, prints)
+    size = lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1)).alias(c)
+    shared = materialize(shared.select("k", "a", size("n_a"), "b", size("n_b"), F.shiftright("n_b", 32).alias("part")), "shared-keys")
+    first = shared.where((F.col("a") != F.col("b")) & _possible(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
+    found = _verified(_simhash_pairs(prints).unionAll(first).distinct(), texts, prints)
 
-    held = shared.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 2")
+    counts = shared.groupBy("k").agg(F.count(F.lit(1)).alias("m"))
+    held = counts.where("m > 2")
     members = materialize(_open(_joined(found, shared.select("k", F.col("b").alias("d"), F.col("n_b").alias("n"))).join(held, "k"), "k"), "members")
+    if members.limit(1).count():
+        members = materialize(_open(_shared_by(F.col("part"), counts, shared, members), "k"), "members")
     light = members.where(F.col("m") <= HEAVY)
     x = light.select("k", F.col("d").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
     y = light.select("k", F.col("d").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
@@ -571,12 +614,13 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         yield pa.array([size_class(len(f)) for f in found], pa.int32())
         yield pa.array([level_of(f) if len(f) else 0 for f in found], pa.int32())
         yield pa.array([parity(f) for f in found], pa.binary())
+        yield pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], "u8").view("i8"))
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marked = with_columns(texts, ["text"], {"digest": "long", "n": "long", "size_class": "int", "level": "int", "parity": "binary"}, run).drop("text")
+    marked = with_columns(texts, ["text"], {"digest": "long", "n": "long", "size_class": "int", "level": "int", "parity": "binary", "simhash": "long"}, run).drop("text")
     marked = materialize(marked, "digests")
     levels = {r[0]: r[1] for r in marked.where("n > 0").groupBy("size_class").agg(F.max("level")).collect()}  # some hundred classes at most
-    prints = materialize(marked.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("parity").alias("parity")).where("rep is not null"), "distinct")
+    prints = materialize(marked.groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("parity").alias("parity"), F.first("simhash").alias("simhash")).where("rep is not null"), "distinct")
     component = connected_components(similar_links(texts, prints, levels))
     named = prints.join(component, prints["digest"] == component["node"], "left").select("digest", "rep", F.coalesce("component", "digest").alias("root"))
     named = materialize(named, "named")

@@ -83,3 +83,31 @@ def test_short_texts_and_boundaries():
     for n in range(1, 3000):
         largest = n * 5 // 4
         assert simhash.size_class(largest) - simhash.size_class(n) <= 1
+
+
+def test_alike_sets_share_more_keys_than_they_do_without():
+    rng = np.random.default_rng(14)
+    least = []
+    for n in [*range(1, 60), 97, 400, 1500]:
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**63, n).astype("u8"))
+            x, y = (np.delete(a, rng.permutation(n)[: int(rng.integers(0, n // 9 + 1))]) for _ in "ab")
+            y = np.unique(np.concatenate([y, rng.integers(0, 2**63, int(rng.integers(0, n // 9 + 1))).astype("u8")]))
+            if len(x) and len(y) and simhash.alike(x, y):
+                of = max(simhash.size_class(len(x)), simhash.size_class(len(y)))
+                level = max(simhash.level_of(x), simhash.level_of(y))
+                keys = [simhash.part_keys(z, of, level) for z in (x, y)]
+                spare = max(simhash.spare_keys(len(k), len(z), of) for k, z in zip(keys, (x, y), strict=True))
+                least.append(len(np.intersect1d(*keys)) - spare)
+    assert len(least) > 500 and min(least) >= 1
+
+
+def test_fingerprints_are_compared_by_the_general_pigeonhole_principle(spark, monkeypatch):
+    rng, met, links = np.random.default_rng(15), [], simhash.links
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 1500)]
+    texts = {i: " ".join([*words[: 700 * i], f"x{i}", *words[700 * i + 1 :]]) for i in range(3)} | {9: " ".join(words[::-1])}
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: met.append(links(*a, **k)) or met[-1])
+    assert components(spark, texts) == brute(texts)
+    prints = {simhash.fingerprint(t) for t in texts.values()}
+    near = sum((a ^ b).bit_count() <= 2 for a in prints for b in prints if a < b)
+    assert len(met) == 1 and met[0].count() == near
